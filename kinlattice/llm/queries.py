@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, line_dedup
 
-QUERIES = {"op6_line_dedup": line_dedup.op6_line_dedup}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+}
 ORACLES = {"op6_line_dedup": line_dedup.SQL}
