@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 LEAF_CHARS = 4096
 ROW_CHARS = 1 << 20
 #: The public pre-tokenizer pattern of byte-level BPE vocabularies.
@@ -246,6 +248,7 @@ def bpe_encode(
     ids). Null text counts as empty: no ids. Repeated rows are encoded each; other columns pass
     through, and one named ``ids`` is replaced.
     """
+    ship(docs.sparkSession)
     docs = docs.drop("ids")
     whole = with_ids(docs)
     size = F.coalesce(F.char_length("text"), F.lit(0))
@@ -286,6 +289,7 @@ def bpe_decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``rows`` with ``decoded`` (text of ``ids``) added. Special tokens are written out; null ids give ''."""
     from pyspark.sql import types as T
 
+    ship(rows.sparkSession)
     rows = rows.drop("decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
     return rows.mapInArrow(_decoder(tokenizer, rows.columns), schema)

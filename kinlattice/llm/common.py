@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinlattice_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    held = tempfile.mkdtemp(prefix="kinlattice-code-")  # the driver's file server hands it out
+    path = shutil.make_archive(f"{held}/{root.name}", "zip", root.parent, root.name)
+    sc.addPyFile(path)
+    sc._kinlattice_shipped = True
+
+
 class Shelf:
     """Tables written to the shared folder to cut lineage. They survive lost executors.
 
