@@ -21,17 +21,24 @@ from .shingles import MinHash, fingerprint, overlap, shingle_set, word_hashes
 
 #: Contract of op4: three-word shingles, similarity at least 85/100.
 SHINGLE, PERCENT = 3, 85
-#: A pair at 0.85 is in no common band with probability (1 - 0.85**5)**25 = 4e-7.
-BANDS, ROWS = 25, 5
+#: Minima of a signature, and the chance that a pair just at the threshold shares no band.
+MINIMA, MISS = 125, 1e-6
 #: Signature estimates lie within 0.25 of the similarity but for about one pair in 1e14.
 SLACK = 0.25
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows that keep the chance of missing a pair at the threshold below MISS."""
+    fits = [r for r in range(1, MINIMA + 1) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= MISS]
+    rows = max(fits, default=1)
+    return MINIMA // rows, rows
+
+
 def _scanner(shingle: int):
     def run(batches):
         import pyarrow as pa
 
-        minhash = MinHash(BANDS * ROWS)
+        minhash = MinHash(MINIMA)
         for batch in batches:
             rows = {"f1": [], "f2": [], "n": [], "sig": []}
             for t in batch.column(1):
@@ -109,8 +116,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reps = shelf.put(
         scan.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     )
-    band = lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, ROWS))
-    buckets = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    bands, rows = banding(percent)
+    band = lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, rows))
+    buckets = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     members = shelf.put(buckets.join(shared.select("bucket", "first"), "bucket"))
     pairs = shelf.put(members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
