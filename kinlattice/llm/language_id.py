@@ -201,3 +201,14 @@ def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Below this cosine a text resembles no learned language at all.
+LEAST_SCORE = 0.05
+
+
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is told: not ``und``, cosine at least ``least``. Columns unchanged."""
+    found = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}), train(docs))
+    told = found.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).drop("lang_pred", "score")
+    return told.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
