@@ -22,6 +22,11 @@ def _digest(line: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"))
 
 
+def _is_long(line: Column, min_chars: int) -> Column:
+    """Bytes first: they are never fewer than code points, and cost nothing to count."""
+    return (F.octet_length(line) >= min_chars) & (F.char_length(F.trim(line, F.lit(BLANKS))) >= min_chars)
+
+
 def line_dedup(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -36,13 +41,14 @@ def line_dedup(
     """
     shelf = Shelf(docs.sparkSession)
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    long_keys = F.transform(
-        F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.char_length(F.trim(x, F.lit(BLANKS))) >= min_chars),
-        _digest,
-    )
-    held = docs.where(F.char_length("text") >= min_chars).select(
-        "doc_id", F.explode(F.array_distinct(long_keys)).alias("key")
+    long_keys = F.transform(F.filter(F.split("text", "\n", -1), lambda x: _is_long(x, min_chars)), _digest)
+    # the digests of long lines, an eighth of the text or less, are what the later steps read
+    hashed = shelf.put(
+        docs.where(F.octet_length("text") >= min_chars)
+        .select("doc_id", F.array_distinct(long_keys).alias("keys"))
+        .where(F.size("keys") > 0)
     )
+    held = hashed.select("doc_id", F.explode("keys").alias("key"))
     # rows a key has are at least the documents it has: a cheap first cut without a distinct
     common = shelf.put(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"))
     n = common.count()
@@ -60,7 +66,8 @@ def line_dedup(
         .agg(F.collect_set("key").alias("_lost"))
         .select(F.col("doc_id").alias("_id"), "_lost")
     )
-    split = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
+    # always a shuffle by document: what is lost grows with the documents, so it is no side to broadcast
+    split = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
         "_lines", F.when(F.col("_lost").isNotNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1))
     )
     kept = split.withColumn(
@@ -69,7 +76,7 @@ def line_dedup(
             F.col("_lost").isNotNull(),
             F.filter(
                 "_lines",
-                lambda x: (F.char_length(F.trim(x, F.lit(BLANKS))) < min_chars) | ~F.array_contains("_lost", _digest(x)),
+                lambda x: ~_is_long(x, min_chars) | ~F.array_contains("_lost", _digest(x)),
             ),
         ),
     )
