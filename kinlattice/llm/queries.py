@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, toxicity
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_language_id": language_id.op8_language_id,
 }
 ORACLES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.SQL,
+    "op5_quality": quality.SQL,
     "op6_line_dedup": line_dedup.SQL,
 }
