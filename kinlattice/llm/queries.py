@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, toxicity
+from . import bpe, decontaminate, language_id, line_dedup, near_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_quality": quality.op5_quality,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
 }
 ORACLES = {
