@@ -1,10 +1,10 @@
 """Near-duplicate documents: MinHash, banding, signature verification, exact confirmation, components.
 
 Only one representative of equal word sequences takes part. In a bucket (documents that share a band)
-not all pairs are tried: everything is compared with a pivot, first the least id. Components are
-formed, and only buckets whose untried members are still in several components go on, with twice as
-many pivots each round. A pair within one component cannot change the result, so no link between
-components is lost, and no bucket is capped.
+not all pairs are tried: everything is compared with the least id, and components are formed. Only
+buckets whose other members are still in several components go on: those outside the largest one are
+compared with the rest, block by block. A pair within one component cannot change the result, so no
+link between components is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .shingles import MinHash, fingerprint, overlap, shingle_set, word_hashes
 SHINGLE, PERCENT = 3, 85
 #: Minima of a signature, and the chance that a pair just at the threshold shares no band.
 MINIMA, MISS = 125, 1e-6
-#: Signature estimates lie within 0.25 of the similarity but for about one pair in 1e14.
-SLACK = 0.25
+#: At a similarity of 0.8 an estimate is lower by more than this with probability 1e-7, at 0.85 with 2e-8.
+SLACK = 0.2
+#: Rows of each side of a block, about.
+BLOCK = 200
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -129,30 +131,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
     edges = _links(pairs, texts, shelf, shingle, percent)
     roots = components(edges, shelf)
-    # buckets of more than two documents can hold links that no pivot has seen
-    rest = members.where("first < rep").select("bucket", "rep")
-    pivots = 1
-    while True:
-        now = rest.join(roots.select(F.col("b").alias("rep"), F.col("a").alias("root")), "rep", "left").select(
-            "bucket", "rep", F.coalesce("root", "rep").alias("root")
-        )
-        open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        state = shelf.put(now.join(open_, "bucket"))
-        if state.isEmpty():
-            break
-        pivots *= 2
-        chosen = _chosen(state, pivots)
-        tried = state.join(chosen.select("bucket", F.col("rep").alias("p"), F.col("root").alias("proot")), "bucket").where(
-            "rep <> p AND root <> proot"
-        )
-        new = tried.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        new = shelf.put(new.join(pairs, ["a", "b"], "left_anti"))
-        found = _links(new, texts, shelf, shingle, percent)
-        pairs = shelf.put(pairs.unionByName(new))
-        edges = shelf.put(edges.unionByName(found))
-        if not found.isEmpty():
-            roots = components(edges, shelf)
-        rest = shelf.put(state.select("bucket", "rep").join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti"))
+    edges = _rest(members, roots, texts, shelf, shingle, percent, edges)
+    roots = components(edges, shelf) if edges is not None else roots
     out = (
         scan.select("doc_id", "f1", "f2", "n")
         .join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
@@ -165,12 +145,80 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     )
 
 
-def _chosen(state: DataFrame, pivots: int) -> DataFrame:
-    """The least ``pivots`` members of every open bucket."""
-    from pyspark.sql import Window
+def _rest(members, roots, texts, shelf: Shelf, shingle: int, percent: int, edges: DataFrame) -> DataFrame | None:
+    """All links after those of the buckets' first members; None if there can be no more.
 
-    order = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-    return state.withColumn("_k", order).where(F.col("_k") <= pivots).drop("_k")
+    Open buckets hold untried members of several components. Buckets that share components form a
+    cluster; every member outside a cluster's largest component is compared with all its members of
+    other components, in blocks of both sides, and only links leave a block.
+    """
+    now = members.where("first < rep").select("bucket", "rep")
+    now = now.join(roots.select(F.col("b").alias("rep"), F.col("a").alias("root")), "rep", "left").select(
+        "bucket", "rep", F.coalesce("root", "rep").alias("root")
+    )
+    open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "lo")
+    state = shelf.put(now.join(open_, "bucket").select("rep", "root", "lo").distinct())
+    if state.isEmpty():
+        return None
+    joined = components(state.where("lo < root").select(F.col("lo").alias("a"), F.col("root").alias("b")), shelf)
+    who = state.select("rep", "root").distinct().join(joined.select(F.col("b").alias("root"), F.col("a").alias("c")), "root", "left")
+    who = shelf.put(who.select("rep", "root", F.coalesce("c", "root").alias("cluster")))
+    sizes = who.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    # the largest component of a cluster and how many blocks each side has
+    blocks = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    blocks = blocks.select(
+        "cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("n_rest")
+    )
+    rows = who.join(blocks, "cluster")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = rows.select("cluster", "rep", "root", F.lit(0).alias("side"), own("n_all").alias("x"), span("n_rest").alias("y"))
+    rest = rows.where("root <> main").select("cluster", "rep", "root", F.lit(1).alias("side"), span("n_all").alias("x"), own("n_rest").alias("y"))
+    dealt = every.unionByName(rest).join(texts, "rep")
+    found = dealt.groupBy("cluster", "x", "y").applyInArrow(_block(shingle, percent), "a long, b long").distinct()
+    found = shelf.put(found)
+    return None if found.isEmpty() else shelf.put(edges.unionByName(found))
+
+
+def _block(shingle: int, percent: int):
+    """Links between the two sides of a block: one for each row of side 1 and component of side 0."""
+
+    def run(rows):
+        import pyarrow as pa
+
+        side = rows.column("side").to_numpy()
+        rep, root = rows.column("rep").to_numpy(), rows.column("root").to_numpy()
+        sig = np.stack([np.asarray(x.values) for x in rows.column("sig")])
+        text = rows.column("text")
+        sets: dict[int, np.ndarray] = {}
+
+        def full(k):
+            if k not in sets:
+                sets[k] = shingle_set(word_hashes(text[k].as_py()), shingle)
+            return sets[k]
+
+        every, a, b = np.flatnonzero(side == 0), [], []
+        for r in np.flatnonzero(side == 1):
+            like = (sig[every] == sig[r]).mean(axis=1)
+            like[root[every] == root[r]] = 0.0
+            done = set()
+            for k in np.argsort(-like, kind="stable"):
+                if like[k] < percent / 100 - SLACK:
+                    break
+                other = every[k]
+                if root[other] in done:
+                    continue
+                x, y = full(int(r)), full(int(other))
+                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                    continue
+                both = overlap(x, y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    done.add(root[other])
+                    a.append(min(rep[r], rep[other]))
+                    b.append(max(rep[r], rep[other]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
