@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, near_dedup, pii, quality, toxicity, url_filter
+from . import bpe, decontaminate, language_id, licenses, line_dedup, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_language_id": language_id.op8_language_id,
+    "op9_licenses": licenses.op9_licenses,
     "op10_pii": pii.op10_pii,
 }
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_quality": quality.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op9_licenses": licenses.sql(),
 }
