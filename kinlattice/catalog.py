@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import relational
+from .plans.registry import ORACLES, QUERIES
 
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
-def flagship(spark, sf_dir):
-    from pyspark.sql import functions as F
 
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+def flagship(spark, sf_dir):
+    """The ten nations with most customers that ordered."""
+    return relational.top_groups_distinct(spark, sf_dir)
