@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relational
+from .plans import evidence, relational  # noqa: F401 - modules register their queries
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
