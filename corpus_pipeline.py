@@ -38,8 +38,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of their decoding."""
-    path = bpe.default_tokenizer()
-    rows = bpe.bpe_decode(bpe.bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    rows = bpe.bpe_encode(docs.select("doc_id", "text"), bpe.default_tokenizer(), decode=True, keep_text=False)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

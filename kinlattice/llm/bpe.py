@@ -24,6 +24,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship
 
@@ -210,49 +211,57 @@ def unpack(data: bytes) -> list[int]:
     return np.frombuffer(data, dtype="<u4").tolist()
 
 
-def _encoder(path: str, leaf_chars: int, text_column: str, drop_text: bool):
+def _encoder(path: str, leaf_chars: int, text_column: str, keep: list[str], decode: bool):
     def run(batches):
         import pyarrow as pa
 
         c = codec(path)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_column))
-            ids = pa.array([pack(c.encode(t.as_py() or "", leaf_chars)) for t in texts], pa.binary())
-            names = [n for n in batch.schema.names if not (drop_text and n == text_column)]
+            ids, decoded = [], []
+            for t in batch.column(batch.schema.names.index(text_column)):
+                found = c.encode(t.as_py() or "", leaf_chars)
+                ids.append(pack(found))
+                if decode:
+                    decoded.append(c.decode(found))
+            made = [pa.array(ids, pa.binary()), *([pa.array(decoded, pa.string())] if decode else [])]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.names.index(n)) for n in names), ids], names=[*names, "ids"]
+                [*(batch.column(batch.schema.names.index(n)) for n in keep), *made], names=[*keep, "ids", *["decoded"][: int(decode)]]
             )
 
     return run
 
 
-def _joiner(path: str):
+def _joiner(path: str, decode: bool):
     def run(key, rows):
         import pyarrow as pa
 
         c = codec(path)
         order = np.argsort(rows.column("_part").to_numpy())
-        parts = [unpack(rows.column("ids")[int(k)].as_py()) for k in order]
-        return pa.table({"_doc": pa.array([key[0].as_py()], pa.string()), "ids": pa.array([pack(c.tree(parts))], pa.binary())})
+        ids = c.tree([unpack(rows.column("ids")[int(k)].as_py()) for k in order])
+        out = {"_doc": pa.array([key[0].as_py()], pa.string()), "ids": pa.array([pack(ids)], pa.binary())}
+        return pa.table(out | ({"decoded": pa.array([c.decode(ids)], pa.string())} if decode else {}))
 
     return run
 
 
 def bpe_encode(
-    docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS, row_chars: int = ROW_CHARS
+    docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHARS, row_chars: int = ROW_CHARS, decode: bool = False, keep_text: bool = True
 ) -> DataFrame:
     """``docs`` with ``ids`` (binary: little-endian unsigned 32-bit token ids) added.
 
     ``tokenizer`` is the path of a byte-level BPE vocabulary on every node. The ids are those of one
     encoding of the whole text, without added special tokens (their strings in a text do become their
-    ids). Null text counts as empty: no ids. Repeated rows are encoded each; other columns pass
-    through, and one named ``ids`` is replaced.
+    ids). With ``decode`` a column ``decoded`` holds the text of the ids, made in the same pass. Null
+    text counts as empty: no ids. Repeated rows are encoded each; other columns pass through, and those
+    named like the added ones are replaced.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("ids")
-    whole = with_ids(docs)
+    docs = docs.drop("ids", *["decoded"][: int(decode)])
+    keep = [c for c in docs.columns if keep_text or c != "text"]
+    added = [T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())][: int(decode)]]
+    whole = T.StructType([*(docs.schema[c] for c in keep), *added])
     size = F.coalesce(F.char_length("text"), F.lit(0))
-    short = docs.where(size <= row_chars).mapInArrow(_encoder(tokenizer, leaf_chars, "text", False), whole)
+    short = docs.where(size <= row_chars).mapInArrow(_encoder(tokenizer, leaf_chars, "text", keep, decode), whole)
     # texts beyond row_chars, in rows of that size, then joined per text; equal texts are encoded once
     long = docs.where(size > row_chars).withColumn("_doc", F.sha2("text", 256))
     n = F.ceil(F.char_length("text") / row_chars).cast("int")
@@ -261,16 +270,10 @@ def bpe_encode(
         .select("_doc", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("_part"))
         .select("_doc", "_part", F.substr("text", F.col("_part") * row_chars + 1, F.lit(row_chars)).alias("_piece"))
         .repartition("_doc", "_part")
-        .mapInArrow(_encoder(tokenizer, leaf_chars, "_piece", True), "_doc string, _part int, ids binary")
+        .mapInArrow(_encoder(tokenizer, leaf_chars, "_piece", ["_doc", "_part"], False), "_doc string, _part int, ids binary")
     )
-    joined = parts.groupBy("_doc").applyInArrow(_joiner(tokenizer), "_doc string, ids binary")
-    return short.unionByName(long.join(joined, "_doc").drop("_doc"))
-
-
-def with_ids(docs: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())])
+    joined = parts.groupBy("_doc").applyInArrow(_joiner(tokenizer, decode), T.StructType([T.StructField("_doc", T.StringType()), *added]))
+    return short.unionByName(long.join(joined, "_doc").select(*whole.names))
 
 
 def _decoder(path: str, schema_names: list[str]):
@@ -287,8 +290,6 @@ def _decoder(path: str, schema_names: list[str]):
 
 def bpe_decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``rows`` with ``decoded`` (text of ``ids``) added. Special tokens are written out; null ids give ''."""
-    from pyspark.sql import types as T
-
     ship(rows.sparkSession)
     rows = rows.drop("decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
@@ -305,8 +306,8 @@ def op1_bpe(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from .common import table
 
     tokenizer = tokenizer or default_tokenizer()
-    ids = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer).drop("text")
-    return bpe_decode(ids, tokenizer).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_encode(docs, tokenizer, decode=True, keep_text=False).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

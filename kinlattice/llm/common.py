@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Shelf, ship
+
+__all__ = ["BLANKS", "BLANK_CLASS", "Shelf", "ascii_lower", "maybe_broadcast", "ship", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that the word and line rules name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -26,63 +24,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="kinlattice-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_kinlattice_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = tempfile.mkdtemp(prefix="kinlattice-code-")  # the driver's file server hands it out
-    path = shutil.make_archive(f"{held}/{root.name}", "zip", root.parent, root.name)
-    sc.addPyFile(path)
-    sc._kinlattice_shipped = True
-
-
-class Shelf:
-    """Tables written to the shared folder to cut lineage. They survive lost executors.
-
-    ``drop`` removes tables that nothing reads any more; what is left goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self._quiet_drop)
-
-    def put(self, df: DataFrame, schema=None) -> DataFrame:
-        self.count += 1
-        path = f"{self.base}/t{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema or df.schema).parquet(path)
-        out._shelf_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._delete(t._shelf_path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def _quiet_drop(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                self._delete(self.base)
-        except Exception:  # noqa: BLE001 - the session is gone, and its shared folder with it
-            pass
-
-
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint where the counted rows are within the limit; a plain (shuffled) side beyond it."""
     return F.broadcast(df) if rows <= limit else df
