@@ -12,14 +12,10 @@ MIN_CHARS, MIN_DOCS = 40, 5
 BROADCAST_ROWS = 500_000
 
 
-def _key(line: Column) -> Column:
-    return ascii_lower(F.trim(line, F.lit(BLANKS)))
-
-
-def _digest(line: Column) -> Column:
-    """96 bits of hash of a line's key."""
-    key = _key(line)
-    return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"))
+def _digests(lines: Column) -> Column:
+    """96 bits of hash of each line's key. One step a transform, as its variable is read more than once in the next."""
+    keys = F.transform(F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS))), ascii_lower)
+    return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b")))
 
 
 def _is_long(line: Column, min_chars: int) -> Column:
@@ -41,7 +37,7 @@ def line_dedup(
     """
     shelf = Shelf(docs.sparkSession)
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    long_keys = F.transform(F.filter(F.split("text", "\n", -1), lambda x: _is_long(x, min_chars)), _digest)
+    long_keys = _digests(F.filter(F.split("text", "\n", -1), lambda x: _is_long(x, min_chars)))
     # the digests of long lines, an eighth of the text or less, are what the later steps read
     hashed = shelf.put(
         docs.where(F.octet_length("text") >= min_chars)
@@ -70,16 +66,9 @@ def line_dedup(
     split = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
         "_lines", F.when(F.col("_lost").isNotNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1))
     )
-    kept = split.withColumn(
-        "_kept",
-        F.when(
-            F.col("_lost").isNotNull(),
-            F.filter(
-                "_lines",
-                lambda x: ~_is_long(x, min_chars) | ~F.array_contains("_lost", _digest(x)),
-            ),
-        ),
-    )
+    split = split.withColumn("_digests", F.when(F.col("_lost").isNotNull(), _digests(F.col("_lines"))))
+    lost_line = lambda x, i: _is_long(x, min_chars) & F.array_contains("_lost", F.get("_digests", i))
+    kept = split.withColumn("_kept", F.when(F.col("_lost").isNotNull(), F.filter("_lines", lambda x, i: ~lost_line(x, i))))
     text = F.coalesce("text", F.lit(""))
     return kept.select(
         *docs.columns,

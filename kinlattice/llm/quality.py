@@ -23,12 +23,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, BLANK_CLASS + "+", -1), lambda w: w != "")
 
 
-def repeated_words(words: Column, n: int = GRAM) -> Column:
-    """Words inside an ``n``-word window that occurs twice or more. Windows are compared by 64-bit hash.
-
-    ``words`` should be a column, not an expression: it is used many times.
-    """
-    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n))))
+def window_hashes(hashes: Column, n: int = GRAM) -> Column:
+    """64-bit hashes of the ``n``-word windows, from those of the words (a column: it is read many times)."""
+    windows = F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), lambda i: F.xxhash64(F.slice(hashes, i, n))))
     return F.coalesce(windows, F.array().cast("array<bigint>"))
 
 
@@ -53,15 +50,16 @@ def measure(docs: DataFrame) -> DataFrame:
     one = docs.select("doc_id", F.col("source").alias("host"), text.alias("t")).select(
         "doc_id", "host", "t", words_of(F.col("t")).alias("words"), F.filter(F.split("t", "\n", -1), has_word).alias("lines")
     )
+    one = one.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     two = one.select(
         "doc_id",
         "host",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace("t", BLANK_CLASS + "+", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("windows"),
-        F.transform("lines", _line).alias("lines"),
+        window_hashes(F.col("hashes")).alias("windows"),
+        _lines(F.col("lines")).alias("lines"),
     )
     repeats = F.when(F.size("windows") > F.size(F.array_distinct("windows")), _covered(F.col("windows"))).otherwise(0)
     return two.select(
@@ -70,10 +68,12 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def _line(line: Column) -> Column:
-    key = ascii_lower(F.trim(F.regexp_replace(line, BLANK_CLASS + "+", " ")))
-    words = F.char_length(key) - F.char_length(F.replace(key, F.lit(" "), F.lit(""))) + 1
-    return F.struct(F.xxhash64(key).alias("a"), F.hash(key).alias("b"), words.cast("int").alias("n"))
+def _lines(lines: Column) -> Column:
+    """(a, b, n) of each line. One step a transform: its variable holds a value that a later step reads more than once."""
+    flat = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, BLANK_CLASS + "+", " ")))
+    keys = F.transform(flat, ascii_lower)
+    words = lambda key: F.char_length(key) - F.char_length(F.replace(key, F.lit(" "), F.lit(""))) + 1
+    return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"), words(k).cast("int").alias("n")))
 
 
 def quality(
