@@ -156,9 +156,9 @@ def _(spark, d):
 
 @query(
     "w04_islands",
-    """WITH s AS (SELECT *, event_id AS at, CASE WHEN event_type <> 'error' THEN value < 150 END AS hit FROM events), t AS (SELECT * FROM s WHERE hit IS NOT NULL),
+    """WITH s AS (SELECT *, CASE WHEN event_type <> 'error' THEN value < 150 END AS hit FROM events), t AS (SELECT * FROM s WHERE hit IS NOT NULL),
        u AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM t)
-       SELECT user_id, min(at) AS "start", max(at) AS "end", count(*) AS n FROM u WHERE hit GROUP BY user_id, island HAVING count(*) >= 3""",
+       SELECT user_id, min(event_id) AS "start", max(event_id) AS "end", count(*) AS n FROM u WHERE hit GROUP BY user_id, island HAVING count(*) >= 3""",
 )
 def _(spark, d):
     hit = F.when(F.col("event_type") != "error", F.col("value") < 150)
