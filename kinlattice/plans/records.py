@@ -607,3 +607,164 @@ def _(spark, d):
 @query("f27_sex_from_calls", "SELECT count(*) FILTER (o_custkey % 25 = 23) AS y_calls, 'M' AS sex FROM orders")
 def _(spark, d):
     return dna.infer_sex(table(spark, d, "orders").select((F.col("o_custkey") % 25 + 1).alias("chrom"), F.lit("AA").alias("genotype")))
+
+
+@query(
+    "e04_bulk_hypotheses",
+    """WITH p AS (SELECT c_custkey AS id, c_custkey % 50 AS s, 1800 + c_custkey % 5 AS y, c_nationkey AS n, c_custkey % 3 AS sex FROM customer WHERE c_custkey < 600),
+       q AS (SELECT a.id AS a, b.id AS b, abs(a.y - b.y) AS g, a.n = b.n AS same, a.sex < 2 AND b.sex < 2 AND a.sex <> b.sex AS clash FROM p a JOIN p b ON a.s = b.s AND a.id < b.id)
+       SELECT a, b, round(greatest(least(1 - 0.5 * CASE WHEN g = 0 THEN 0.6 WHEN g <= 2 THEN 0.75 ELSE 1 END * CASE WHEN same THEN 0.6 ELSE 1 END - 0.1 * clash::INT, 1), 0.05), 6)::DOUBLE AS score FROM q""",
+)
+def _(spark, d):
+    from . import pipelines
+
+    return rounded(pipelines.hypotheses(linkable(spark, d)).select("a", "b", "score"), "score")
+
+
+@query("e01_import", "SELECT 'persons' AS name, count(*) AS n FROM customer UNION ALL SELECT 'names', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM customer UNION ALL SELECT 'families', count(*) FROM customer WHERE c_custkey % 4 = 0")
+def _(spark, d):
+    from . import pipelines
+
+    tables = pipelines.import_texts(texts(spark, d))
+    parts = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("persons", "names", "events", "families")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("s22_people_for_matching", "SELECT CAST(c_nationkey AS VARCHAR) || '/I' || c_custkey AS id, c_mktsegment AS given, c_name AS surname, 1700 + c_custkey % 200 AS birth_year, 'Town ' || c_custkey % 7 || ', Land' AS birth_place FROM customer")
+def _(spark, d):
+    from . import pipelines
+
+    people = pipelines.people(pipelines.import_texts(texts(spark, d)))
+    return people.select("id", "given", "surname", F.col("birth_year").cast("long").alias("birth_year"), "birth_place")
+
+
+@query("f07_source_scores", "SELECT p_partkey, round(least(1, 0.7 + 0.2 * CASE WHEN p_brand = 'Brand#2' THEN 1 ELSE 0 END + CASE WHEN p_type = 'ECONOMY' THEN 0.1 ELSE 0 END), 6)::DOUBLE AS score FROM part")
+def _(spark, d):
+    authors = F.array("p_brand")
+    score = similarity.source_score(F.lit(1.0), authors, F.array(F.lit("Brand#2")), F.col("p_type"), F.lit(" economy "))
+    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query("f08_place_scores", "SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 0.94 ELSE 0.6 END::DOUBLE AS score FROM customer")
+def _(spark, d):
+    place = F.concat(F.lit("Land "), F.col("c_nationkey").cast("string"), F.lit(", Town"))
+    score = similarity.place_score(place, F.lit("land 3"), F.lit(0.6))
+    return table(spark, d, "customer").select("c_custkey", F.round(score, 6).alias("score"))
+
+
+@query("f12_diacritic_variants", "SELECT doc_id, CASE WHEN contains(text, 'ä') THEN 2 ELSE 1 END AS forms FROM (SELECT doc_id, regexp_replace(left(text, 40), '[^a-zä]', '', 'g') AS text FROM documents)")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.left("text", F.lit(40)), "[^a-zä]", "").alias("t"))
+    plain = F.array_distinct(F.array(F.col("t"), phonetic.fold(F.col("t"), "de")))
+    return docs.select("doc_id", F.size(plain).alias("forms"))
+
+
+@query("f14_scripts", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'he' ELSE 'en' END AS script FROM customer")
+def _(spark, d):
+    name = F.get(F.array(F.lit("Иван x"), F.lit("כהן"), F.lit("Smith")), (F.col("c_custkey") % 3).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", phonetic.script(name).alias("script"))
+
+
+@query("f15_archive_variants", "SELECT n_nationkey, n_name IS NOT NULL AS has_own, true AS has_codes FROM nation")
+def _(spark, d):
+    from ..storage import ship
+
+    ship(spark)
+    n = table(spark, d, "nation").withColumn("v", phonetic.archive_variants(F.col("n_name"), phonetic.search_codes(F.col("n_name"))))
+    return n.select("n_nationkey", F.array_contains("v", F.col("n_name")).alias("has_own"), F.exists("v", lambda x: x.startswith("__DM__")).alias("has_codes"))
+
+
+@query("f20_name_tiers", "SELECT p_partkey AS q, 1::BIGINT AS c, 1.0::DOUBLE AS score, 'exact' AS tier FROM part WHERE p_name = 'red widget'")
+def _(spark, d):
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("name"))
+    c = spark.createDataFrame([(1, "Red Widget")], "c long, name string")
+    none = spark.createDataFrame([("cohen", "kohen")], "form string, canonical string")
+    return M.match_names(q, c, none, 0.95)
+
+
+@query("f24_dates_equal", "SELECT o_orderkey, abs(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01')) <= 30 AS same FROM orders")
+def _(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    one = lambda c: F.struct(c.alias("lower"), c.alias("upper"))
+    o = table(spark, d, "orders").select("o_orderkey", one(day).alias("a"), one(F.lit(date(1998, 1, 1))).alias("b"))
+    return o.select("o_orderkey", dates.dates_equal(F.col("a"), F.col("b"), 30).alias("same"))
+
+
+@query("f31_month_precision", "SELECT o_orderkey, day(o_orderdate) <= 20 AS precise FROM orders")
+def _(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    span = F.struct(F.trunc(day, "month").alias("lower"), F.when(F.dayofmonth(day) <= 20, day).otherwise(F.add_months(day, 2)).alias("upper"))
+    return table(spark, d, "orders").select("o_orderkey", span.alias("s")).select("o_orderkey", dates.month_precise(F.col("s")).alias("precise"))
+
+
+@query(
+    "j17_archive_scores",
+    """SELECT event_id, s_suppkey FROM (SELECT event_id, s_suppkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY value DESC, event_id) AS rn FROM events JOIN customer ON c_custkey = user_id JOIN supplier ON s_nationkey = c_nationkey
+       WHERE event_type IN ('signup', 'purchase') AND s_acctbal > 0) WHERE rn = 1""",
+)
+def _(spark, d):
+    e = table(spark, d, "events").where("event_type IN ('signup', 'purchase')").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("user_id"))
+    both = e.join(table(spark, d, "supplier").where("s_acctbal > 0"), F.col("s_nationkey") == F.col("c_nationkey"))
+    return R.pick(both, ["s_suppkey"], F.col("event_id"), F.struct(-F.col("value"), F.col("event_id"))).select(F.col("value").alias("event_id"), "s_suppkey")
+
+
+@query("j23_parent_ages", "SELECT 'I' || (k + 2) AS subject, 'mother_age' AS rule FROM (SELECT f.c_custkey AS k FROM customer f JOIN customer m ON m.c_custkey = f.c_custkey + 1 AND m.c_nationkey = f.c_nationkey JOIN customer c ON c.c_custkey = f.c_custkey + 2 AND c.c_nationkey = f.c_nationkey WHERE f.c_custkey % 4 = 0)")
+def _(spark, d):
+    doc = document(spark, d)
+    pairs = Q.parents(doc["families"], doc["children"], Q.lives(doc["events"]))
+    return Q.parent_ages(pairs).where("rule = 'mother_age'").select("subject", "rule")
+
+
+@query("j26_propagated_matches", "SELECT c_custkey + 10000 AS a, c_custkey + 20000 AS b FROM customer WHERE c_custkey < 100 AND c_custkey % 2 = 0")
+def _(spark, d):
+    c = table(spark, d, "customer").where("c_custkey < 100")
+    k = F.col("c_custkey")
+    role = lambda s, base, who, step: c.where(f"c_custkey % 2 = 0 OR {step} = 0").select(F.lit(s).alias("source"), (k + base).alias("person"), F.lit(who).alias("role"), (k + base - 10000 + step + (0 if s == "l" else 0)).alias("other"))
+    roles = None
+    for s, base in (("l", 10000), ("r", 20000)):
+        for who, step in (("child", 0), ("spouse", 1000)):
+            part = role(s, base, who, step)
+            roles = part if roles is None else roles.unionByName(part)
+    known = c.select(k.alias("a"), (k + 10000).alias("b")).unionByName(c.select((k + 1000).alias("a"), (k + 11000).alias("b")))
+    return M.propagate(roles, known)
+
+
+@query("j27_text_references", "SELECT doc_id, p_name AS ref FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)) JOIN (SELECT DISTINCT p_name FROM part) ON w = string_split(p_name, ' ')[1]")
+def _(spark, d):
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    labels = table(spark, d, "part").select("p_name").distinct().withColumn("w", F.get(F.split("p_name", " "), 0))
+    return words.join(labels, "w").select("doc_id", F.col("p_name").alias("ref"))
+
+
+@query("x02_feature_hits", "SELECT CAST(c_nationkey AS VARCHAR) AS file, count(*) AS vendor_tags, count(*) AS approximate FROM customer GROUP BY 1 HAVING count(*) > 0")
+def _(spark, d):
+    _, nodes, _ = parsed(spark, d)
+    return nodes.groupBy("file").agg(F.count_if(F.col("tag").startswith("_")).alias("vendor_tags"), F.count_if(F.col("tag") == "DATE").alias("approximate"))
+
+
+@query("g14_resolved_references", "SELECT a AS anchor, a // 2 AS node FROM (SELECT c_custkey AS a FROM customer WHERE c_custkey BETWEEN 40 AND 60)")
+def _(spark, d):
+    from ..functions import kinship as K
+    from ..operators import graph as G
+    from .evidence import kinship
+
+    start = table(spark, d, "customer").where("c_custkey BETWEEN 40 AND 60").select(F.col("c_custkey").alias("id"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("U").alias("sex"))
+    return G.walk(start, kinship(spark, d), people, K.steps("my father"))
+
+
+@query("d01_dna_against_tree", "SELECT DISTINCT kit, id FROM (SELECT l_orderkey AS kit, unnest([l_suppkey, l_partkey % 100]) AS id FROM lineitem WHERE l_orderkey < 300 AND l_suppkey <> l_partkey % 100) WHERE id % 2 = 0")
+def _(spark, d):
+    l = table(spark, d, "lineitem").where("l_orderkey < 300").selectExpr("l_orderkey AS kit", "l_suppkey AS a", "l_partkey % 100 AS b").where("a <> b")
+    links = l.select("kit", F.explode(F.array("a", "b")).alias("id")).distinct().withColumns({"cm": F.lit(200.0), "dna_line": F.lit("paternal"), "tree_line": F.when(F.col("id") % 2 == 0, "maternal").otherwise("paternal")})
+    return Q.dna_against_tree(links, l)
+
+
+@query("k07_export_manifest", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier")
+def _(spark, d):
+    from ..sources import sinks
+    from ..storage import shared_dir
+
+    import uuid
+
+    return sinks.export({n: table(spark, d, n) for n in ("nation", "supplier")}, f"{shared_dir(spark)}/export-{uuid.uuid4().hex}")
