@@ -19,7 +19,7 @@ def import_texts(texts: DataFrame) -> dict[str, DataFrame]:
     spark = texts.sparkSession
     ship(spark)
     shelf = Shelf(spark)
-    nodes = shelf.put(gedcom.read_records(shelf.put(gedcom.read_lines(texts))))
+    nodes = gedcom.read_records(gedcom.read_lines(texts))
     docs = shelf.put(gedcom.documents(nodes))
     events = gedcom.events(nodes, docs)
     names = gedcom.names(nodes, docs)

@@ -12,7 +12,6 @@ from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import versioning as V
 from ..sources import dna, gedcom
-from ..storage import Shelf
 from .evidence import rounded
 from .registry import query, table
 
@@ -40,10 +39,8 @@ def texts(spark, d):
 
 
 def parsed(spark, d):
-    # parsed once, then read by every extractor
-    shelf = Shelf(spark)
-    lines = shelf.put(gedcom.read_lines(texts(spark, d)))
-    nodes = shelf.put(gedcom.read_records(lines))
+    lines = gedcom.read_lines(texts(spark, d))
+    nodes = gedcom.read_records(lines)
     return lines, nodes, gedcom.documents(nodes)
 
 

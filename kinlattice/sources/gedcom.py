@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import phonetic
+from ..storage import Shelf, ship
 
 #: Lines of a bin: running values of a file are carried from bin to bin, so a huge file is no single task.
 BIN = 20_000
@@ -51,8 +52,6 @@ def _decode(raw, charset):
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, text, charset, confidence), a row a file. ``path`` may be any store that Spark reads."""
-    from ..storage import ship
-
     ship(spark)
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", detect_encoding(F.col("content")).alias("e"))
     native = ["UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16LE", "UTF-16BE"]
@@ -81,6 +80,7 @@ def read_lines(texts: DataFrame) -> DataFrame:
 
     CONT adds a line break and its text, CONC its text, but only to the line right above them in the
     hierarchy while that one is open; otherwise they are lost. A line that cannot be read continues the open one.
+    The result is written to the shared folder, as every extractor reads it.
     """
     split = texts.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("no", "line")).where("trim(line) <> ''")
     part = lambda k: F.regexp_extract("line", LINE, k)
@@ -94,20 +94,20 @@ def read_lines(texts: DataFrame) -> DataFrame:
     lines = rows.groupBy("file", F.col("open.no").alias("no")).agg(F.max(own).alias("x"), F.array_sort(F.collect_list(F.struct("no", text.alias("t")))).alias("more"))
     tail = F.array_join(F.transform("more", lambda m: m["t"]), "")
     value = F.when(F.col("x.value").isNull() & (tail == ""), F.lit(None)).otherwise(F.concat(F.coalesce("x.value", F.lit("")), tail))
-    return lines.select("file", "no", "x.level", "x.xref", "x.tag", value.alias("value"))
+    return Shelf(texts.sparkSession).put(lines.select("file", "no", "x.level", "x.xref", "x.tag", value.alias("value")))
 
 
 def read_records(lines: DataFrame) -> DataFrame:
     """``lines`` with ``root`` (line of the level-0 record) and ``parent``.
 
-    The parent is the nearest line above with a lower level, also where levels jump.
+    The parent is the nearest line above with a lower level, also where levels jump. Written like the lines.
     """
     rows = carried(lines, F.when(F.col("level") == 0, F.col("no")), "root").where("root IS NOT NULL")
     above = Window.partitionBy("file", "root").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.last(F.when(F.col("level") == k, F.col("no")), ignorenulls=True).over(above) for k in range(MAX_LEVEL)]
     rows = rows.withColumn("_last", F.array(*last))
     lower = F.slice("_last", F.lit(1), F.least(F.col("level"), F.lit(MAX_LEVEL)))
-    return rows.withColumn("parent", F.when(F.col("level") > 0, F.array_max(lower))).drop("_last")
+    return Shelf(lines.sparkSession).put(rows.withColumn("parent", F.when(F.col("level") > 0, F.array_max(lower))).drop("_last"))
 
 
 def documents(nodes: DataFrame) -> DataFrame:
