@@ -15,7 +15,7 @@ BROADCAST_ROWS = 500_000
 def _digests(lines: Column) -> Column:
     """96 bits of hash of each line's key. One step a transform, as its variable is read more than once in the next."""
     keys = F.transform(F.transform(lines, lambda x: F.trim(x, F.lit(BLANKS))), ascii_lower)
-    return F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b")))
+    return F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("a"), F.hash(k).alias("b"))))
 
 
 def _is_long(line: Column, min_chars: int) -> Column:
@@ -66,9 +66,10 @@ def line_dedup(
     split = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn(
         "_lines", F.when(F.col("_lost").isNotNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1))
     )
-    split = split.withColumn("_digests", F.when(F.col("_lost").isNotNull(), _digests(F.col("_lines"))))
-    lost_line = lambda x, i: _is_long(x, min_chars) & F.array_contains("_lost", F.get("_digests", i))
-    kept = split.withColumn("_kept", F.when(F.col("_lost").isNotNull(), F.filter("_lines", lambda x, i: ~lost_line(x, i))))
+    # a zip reads its second array once, where a look-up by position could be evaluated line by line
+    digests = _digests(F.transform("_lines", lambda x: F.when(_is_long(x, min_chars), x)))
+    stays = F.zip_with("_lines", digests, lambda x, d: F.when(~F.coalesce(F.array_contains("_lost", d), F.lit(False)), x))
+    kept = split.withColumn("_kept", F.when(F.col("_lost").isNotNull(), F.filter(stays, lambda x: x.isNotNull())))
     text = F.coalesce("text", F.lit(""))
     return kept.select(
         *docs.columns,
