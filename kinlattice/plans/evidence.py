@@ -347,8 +347,9 @@ def _(spark, d):
         SELECT cluster, pairs, round(density, 6) AS density, round(coalesce(m, 0), 6) AS mean_cm, CASE WHEN pairs >= 3 THEN CASE WHEN m >= 30 THEN 'AJ' WHEN m >= 25 THEN 'mennonite' WHEN m >= 20 THEN 'iberian_sephardic' END END AS label FROM s""",
 )
 def _(spark, d):
-    membership = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 7).alias("cluster"))
-    stats = G.inside_weights(match_graph(spark, d), membership)
+    g = match_graph(spark, d)
+    membership = g.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("cluster", F.col("id") % 7)
+    stats = G.inside_weights(g, membership).where("pairs > 0")
     return rounded(stats.withColumn("label", G.endogamy_label(F.col("mean_cm"), F.col("pairs"))), "density", "mean_cm")
 
 
