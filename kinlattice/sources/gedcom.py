@@ -15,7 +15,6 @@ from ..storage import Shelf, ship
 BIN = 20_000
 #: Fixed grammar: level, optional xref, tag, optional value.
 LINE = r"^\s*(\d{1,2})\s+(?:@([^@]+)@\s+)?([A-Za-z0-9_]+)(?: (.*))?$"
-MAX_LEVEL = 32
 #: Fixed tags.
 PERSON_EVENTS = "BIRT CHR DEAT BURI CREM ADOP BAPM BARM BASM BLES CHRA CONF FCOM ORDN NATU EMIG IMMI CENS PROB WILL GRAD RETI EVEN OCCU RESI".split()
 FAMILY_EVENTS = "MARR DIV ANUL ENGA MARB MARC MARL MARS DIVF CENS EVEN".split()
@@ -67,8 +66,7 @@ def carried(df: DataFrame, value: Column, out: str) -> DataFrame:
     """``df`` (file, no, ...) with the last non-null ``value`` up to each line: within bins, then across them."""
     rows = df.withColumn("_v", value).withColumn("_bin", F.floor(F.col("no") / BIN))
     inner = Window.partitionBy("file", "_bin").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.where(F.col("_v").isNotNull()).groupBy("file", "_bin").agg(F.max_by("_v", "no").alias("_end"))
-    bins = rows.select("file", "_bin").distinct().join(ends, ["file", "_bin"], "left")
+    bins = rows.groupBy("file", "_bin").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("no"))).alias("_end"))
     before = Window.partitionBy("file").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
     rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inner)).join(bins, ["file", "_bin"])
@@ -82,19 +80,23 @@ def read_lines(texts: DataFrame) -> DataFrame:
     hierarchy while that one is open; otherwise they are lost. A line that cannot be read continues the open one.
     The result is written to the shared folder, as every extractor reads it.
     """
-    split = texts.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("no", "line")).where("trim(line) <> ''")
+    shelf = Shelf(texts.sparkSession)
+    # whole files are few, large rows: dealt evenly before they are split
+    dealt = texts.select("file", "text").repartition(max(2, texts.sparkSession.sparkContext.defaultParallelism))
+    split = dealt.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("no", "line")).where("trim(line) <> ''")
     part = lambda k: F.regexp_extract("line", LINE, k)
     ok = F.col("line").rlike(LINE)
     rows = split.select("file", "no", "line", F.when(ok, part(1).cast("int")).alias("level"), F.nullif(part(2), F.lit("")).alias("xref"), F.when(ok, F.upper(part(3))).alias("tag"), F.when(ok, part(4)).alias("value"))
     more = F.col("tag").isin("CONT", "CONC") | F.col("tag").isNull()
-    rows = carried(rows, F.when(~more, F.struct("no", "level")), "open")
+    rows = carried(shelf.put(rows), F.when(~more, F.struct("no", "level")), "open")
     rows = rows.withColumn("_more", more).where(~F.col("_more") | F.col("tag").isNull() | (F.col("level") == F.col("open.level") + 1)).where("open IS NOT NULL")
     text = F.when(~F.col("_more"), F.lit("")).when(F.col("tag") == "CONC", F.coalesce("value", F.lit(""))).otherwise(F.concat(F.lit("\n"), F.coalesce("value", "line")))
-    own = F.when(~F.col("_more"), F.struct("level", "xref", "tag", "value"))
-    lines = rows.groupBy("file", F.col("open.no").alias("no")).agg(F.max(own).alias("x"), F.array_sort(F.collect_list(F.struct("no", text.alias("t")))).alias("more"))
+    # few lines are continued: only those are gathered
+    more_rows = rows.where("_more").groupBy("file", F.col("open.no").alias("no")).agg(F.array_sort(F.collect_list(F.struct(F.col("no").alias("at"), text.alias("t")))).alias("more"))
+    lines = rows.where("NOT _more").select("file", "no", "level", "xref", "tag", "value").join(more_rows, ["file", "no"], "left")
     tail = F.array_join(F.transform("more", lambda m: m["t"]), "")
-    value = F.when(F.col("x.value").isNull() & (tail == ""), F.lit(None)).otherwise(F.concat(F.coalesce("x.value", F.lit("")), tail))
-    return Shelf(texts.sparkSession).put(lines.select("file", "no", "x.level", "x.xref", "x.tag", value.alias("value")))
+    value = F.when(F.col("more").isNull(), F.col("value")).when(F.col("value").isNull() & (tail == ""), F.lit(None)).otherwise(F.concat(F.coalesce("value", F.lit("")), tail))
+    return shelf.put(lines.select("file", "no", "level", "xref", "tag", value.alias("value")))
 
 
 def read_records(lines: DataFrame) -> DataFrame:
@@ -104,9 +106,10 @@ def read_records(lines: DataFrame) -> DataFrame:
     """
     rows = carried(lines, F.when(F.col("level") == 0, F.col("no")), "root").where("root IS NOT NULL")
     above = Window.partitionBy("file", "root").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("no")), ignorenulls=True).over(above) for k in range(MAX_LEVEL)]
+    deepest = lines.agg(F.max("level")).first()[0] or 0
+    last = [F.last(F.when(F.col("level") == k, F.col("no")), ignorenulls=True).over(above) for k in range(max(1, deepest))]
     rows = rows.withColumn("_last", F.array(*last))
-    lower = F.slice("_last", F.lit(1), F.least(F.col("level"), F.lit(MAX_LEVEL)))
+    lower = F.slice("_last", F.lit(1), F.col("level"))
     return Shelf(lines.sparkSession).put(rows.withColumn("parent", F.when(F.col("level") > 0, F.array_max(lower))).drop("_last"))
 
 

@@ -50,6 +50,8 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}"
         self.count = 0
+        path, fs = self._at(self.base)
+        fs.deleteOnExit(path)  # when the JVM ends
         atexit.register(self._quiet_drop)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -64,10 +66,14 @@ class Shelf:
         for t in tables:
             self._delete(t._shelf_path)
 
+    def _at(self, path: str):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = self._at(path)
+        fs.delete(p, True)
 
     def _quiet_drop(self) -> None:
         try:
