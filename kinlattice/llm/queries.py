@@ -17,7 +17,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 ORACLES = {
-    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.SQL,
     "op5_quality": quality.SQL,
     "op6_line_dedup": line_dedup.SQL,
