@@ -20,5 +20,6 @@ ORACLES = {
     "op3_decontaminate": decontaminate.SQL,
     "op5_quality": quality.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op7_url_filter": url_filter.sql(),
     "op9_licenses": licenses.sql(),
 }

@@ -21,7 +21,7 @@ RULES = [
     ("com", "/de/", "block"),
 ]
 ORDER = 5
-#: One part in so many of the labelled URLs calibrates the bound and trains nothing.
+#: One part in so many, by digest, of the labelled URLs calibrates the bound and trains nothing.
 CALIBRATE = 5
 #: Distinct n-grams of at most ORDER characters that are broadcast (about 40 bytes each).
 BROADCAST_ROWS = 500_000
@@ -44,6 +44,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return pick(lambda r: r[0] + r[1]), pick(lambda r: r[2])
 
 
+def calibrates(url: Column) -> Column:
+    """One URL in CALIBRATE, by its digest."""
+    return F.conv(F.left(F.md5(url), F.lit(8)), 16, 10).cast("long") % CALIBRATE == 0
+
+
 def _grams(urls: DataFrame, order: int) -> DataFrame:
     """A row for each character of each distinct URL: the character and up to ``order`` - 1 before it."""
     padded = urls.withColumn("_p", F.concat(F.lit(START * (order - 1)), "url", F.lit(END)))
@@ -69,7 +74,7 @@ def _model(counted: DataFrame, order: int, shelf: Shelf) -> list[DataFrame]:
 
 
 def _ratios(grams: DataFrame, model: list, order: int) -> DataFrame:
-    """(gram, ratio): log p_accepted - log p_rejected of the last character after the others, per distinct gram."""
+    """(gram, ratio): log p_accepted - log p_rejected of the last character after the others, in units of 1e-9."""
     out = grams.select("gram").distinct().withColumns({"pa": F.lit(1 / 256.0), "pb": F.lit(1 / 256.0)})
     for k, (one, total) in enumerate(model, 1):
         out = out.withColumn("g", F.substr("gram", F.lit(order - k + 1), F.lit(k))).withColumn("c", F.substr("gram", F.lit(order - k + 1), F.lit(k - 1)))
@@ -78,7 +83,7 @@ def _ratios(grams: DataFrame, model: list, order: int) -> DataFrame:
             n, t, d = (F.coalesce(F.col(x), F.lit(0)) for x in (s, f"t{s}", f"d{s}"))
             out = out.withColumn(f"p{s}", F.when(t > 0, (n + d * F.col(f"p{s}")) / (t + d)).otherwise(F.col(f"p{s}")))
         out = out.select("gram", "pa", "pb")
-    return out.select("gram", F.round(F.log("pa") - F.log("pb"), 9).alias("ratio"))
+    return out.select("gram", F.round((F.log("pa") - F.log("pb")) * 1e9).cast("long").alias("ratio"))
 
 
 def _scores(urls: DataFrame, model: list, order: int, shelf: Shelf, broadcast_rows: int) -> DataFrame:
@@ -86,7 +91,9 @@ def _scores(urls: DataFrame, model: list, order: int, shelf: Shelf, broadcast_ro
     grams = _grams(urls, order)
     ratios = shelf.put(_ratios(grams, model, order))
     known = F.broadcast(ratios) if ratios.count() <= broadcast_rows else ratios
-    return grams.join(known, "gram").groupBy(*urls.columns).agg(F.round(F.avg("ratio"), 9).alias("score"))
+    # whole numbers: the mean does not depend on the order of addition
+    total, n = F.sum("ratio"), F.count(F.lit(1))
+    return grams.join(known, "gram").groupBy(*urls.columns).agg((((total - F.pmod(total, n)) / n) / 1e9).alias("score"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -106,7 +113,7 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, broadcast_row
     judged = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "_fixed": verdict})
     urls = shelf.put(judged.where("url IS NOT NULL").select("url", "_fixed").distinct())
     labelled = urls.where("_fixed IS NOT NULL").select("url", (F.col("_fixed") == "allow").cast("int").alias("good"))
-    part = F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0
+    part = calibrates(F.col("url"))
     counted = _grams(labelled.where(~part), order).groupBy("gram").agg(F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("b"))
     counted = shelf.put(counted)
     sizes = labelled.agg(F.sum("good"), F.sum(1 - F.col("good"))).first()
@@ -143,3 +150,39 @@ def _bound(scores: DataFrame) -> float:
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def sql(rules=RULES, order: int = ORDER) -> str:
+    """The same in DuckDB: rules, both models by interpolation over lengths 1 to ``order``, the grid of bounds, verdicts."""
+    ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(h, p, v)}'" for h, p, v in ranked) + " END"
+    steps, last = [], "SELECT DISTINCT gram, 1 / 256.0::DOUBLE AS pa, 1 / 256.0::DOUBLE AS pb FROM sg"
+    for k in range(1, order + 1):
+        steps.append(f"n{k} AS (SELECT right(gram, {k}) AS g, sum(a) AS a, sum(b) AS b FROM tr GROUP BY 1)")
+        steps.append(f"t{k} AS (SELECT left(g, {k - 1}) AS c, sum(a) AS ta, sum(b) AS tb, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM n{k} GROUP BY 1)")
+        steps.append(f"p{k - 1} AS ({last})")
+        mix = lambda s: f"CASE WHEN coalesce(t{s}, 0) > 0 THEN (coalesce({s}, 0) + d{s} * p{s}) / (t{s} + d{s}) ELSE p{s} END AS p{s}"
+        last = f"SELECT gram, {mix('a')}, {mix('b')} FROM p{k - 1} LEFT JOIN n{k} ON g = right(gram, {k}) LEFT JOIN t{k} ON c = left(right(gram, {k}), {k - 1})"
+    pad = f"repeat(chr(2), {order - 1}) || url || chr(3)"
+    grams = lambda source: f"SELECT *, substr({pad}, i, {order}) AS gram FROM {source}, range(1, length(url) + 2) r(i)"
+    return f"""
+WITH a AS (SELECT page_id, url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+j AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS fixed FROM b),
+u AS (SELECT DISTINCT url, fixed, ('0x' || left(md5(url), 8))::BIGINT % {CALIBRATE} = 0 AS part FROM j WHERE url IS NOT NULL),
+tr AS (SELECT gram, count(*) FILTER (fixed = 'allow') AS a, count(*) FILTER (fixed = 'block') AS b FROM ({grams("(SELECT * FROM u WHERE fixed IS NOT NULL AND NOT part)")}) GROUP BY 1),
+su AS (SELECT url, fixed FROM u WHERE fixed IS NULL OR part),
+sg AS ({grams("su")}),
+{", ".join(steps)},
+ratio AS (SELECT gram, round((ln(pa) - ln(pb)) * 1e9)::BIGINT AS r FROM ({last})),
+score AS (SELECT url, fixed, ((sum(r) - ((sum(r) % count(*)) + count(*)) % count(*)) / count(*))::DOUBLE / 1e9 AS score FROM sg JOIN ratio USING (gram) GROUP BY ALL),
+grid AS (SELECT least(200, greatest(-200, floor(score * 50)))::INT AS k, count(*) FILTER (fixed = 'allow') AS g, count(*) FILTER (fixed = 'block') AS b FROM score WHERE fixed IS NOT NULL GROUP BY 1),
+total AS (SELECT greatest(1, coalesce(sum(g), 0)) AS g, greatest(1, coalesce(sum(b), 0)) AS b FROM grid),
+cut AS (SELECT s.k, round((t.g - coalesce((SELECT sum(g) FROM grid WHERE grid.k < s.k), 0)) / t.g + coalesce((SELECT sum(b) FROM grid WHERE grid.k < s.k), 0) / t.b, 9) AS balanced FROM range(-200, 202) s(k), total t),
+bound AS (SELECT k / 50.0 AS bound FROM cut ORDER BY balanced DESC, abs(k), k DESC LIMIT 1),
+ok AS (SELECT count(*) FILTER (fixed = 'allow') > 0 AND count(*) FILTER (fixed = 'block') > 0 AS usable FROM u)
+SELECT page_id, host, path, rule, coalesce(j.fixed, CASE WHEN usable AND score < bound THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN j.fixed IS NULL THEN CASE WHEN usable THEN score WHEN j.url IS NOT NULL THEN 0.0 END END AS score
+FROM j LEFT JOIN score ON score.url = j.url AND score.fixed IS NULL, bound, ok
+"""
