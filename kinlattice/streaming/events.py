@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 #: Fixed states after which a job says nothing more.
 TERMINAL = ("succeeded", "failed", "canceled")
@@ -88,3 +89,22 @@ def watch_jobs(events: DataFrame, key: str, ts: str, stage: str, idle: str = "1
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """A query that writes Parquet and stops when what there is has been read."""
     return stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ProgressLog(StreamingQueryListener):
+    """Progress of streaming queries as (query, stage, rows), fire and forget: nothing waits for a reader."""
+
+    def __init__(self, publish):
+        self.publish = publish
+
+    def onQueryStarted(self, event):
+        self.publish((str(event.id), "started", 0))
+
+    def onQueryProgress(self, event):
+        self.publish((str(event.progress.id), "running", event.progress.numInputRows))
+
+    def onQueryIdle(self, event):
+        self.publish((str(event.id), "idle", 0))
+
+    def onQueryTerminated(self, event):
+        self.publish((str(event.id), "failed" if event.exception else "succeeded", 0))

@@ -272,3 +272,28 @@ def test_registries(spark):
     rules.add("surname", lambda: evidence.surname_rule(F.col("a"), F.col("b")))
     pairs = spark.createDataFrame([(1, ["x"], ["x"]), (2, ["x"], ["y"]), (3, None, ["y"])], "k int, a array<string>, b array<string>")
     assert [tuple(r) for r in extensions.run_rules(pairs, ["k"], rules).collect()] == [(1, "surname", "supports", 0.5)]
+
+
+def test_detectors_and_contracts(spark):
+    from pyspark.sql import types as T
+
+    links = spark.createDataFrame([("t1", 1, 2, "x", "y", 0), ("t1", 3, 4, "x", "x", 0), ("t2", 5, 6, "x", "y", 1)], "tree_id string, a int, b int, population_a string, population_b string, sources int")
+    reg = extensions.Registry("detector")
+    pairs = lambda t: F.concat_ws("-", "a", "b").alias("subject")
+    reg.add("crossover", lambda t: t["links"].join(quality.separated_populations(t["links"]), ["a", "b"]).select("tree_id", pairs(t), "verdict"))
+    got = {r.tree_id: [tuple(v) for v in r.verdicts] for r in extensions.run_detectors({"links": links}, reg).collect()}
+    assert got == {"t1": [("1-2", "crossover"), ("3-4", "same")], "t2": [("5-6", "documented")]}
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("z", T.StringType())])
+    assert extensions.conforms(links, schema) == ["missing z", "a is int"]
+
+
+def test_rules_over_evidence(spark):
+    loops = spark.createDataFrame([(1, 2, 8.0, 0), (1, 2, 9.0, 0), (1, 2, 10.0, 0), (3, 4, 9.0, 0), (5, 6, 8.0, 1), (5, 6, 8.0, 1), (5, 6, 8.0, 1)], "a int, b int, cm double, sources int")
+    assert [tuple(r) for r in quality.founder_loops(loops).collect()] == [(1, 2)]
+    facts = spark.createDataFrame([("p", "birth", "1900", "derivative", 1), ("p", "birth", "1901", "primary", 2), ("q", "birth", "1850", "derivative", 3)], "subject string, fact string, value string, source_class string, snippet int")
+    assert {tuple(r) for r in quality.preferred_facts(facts).collect()} == {("p", "birth", "1901", True), ("q", "birth", "1850", False)}
+    entries = spark.createDataFrame([("h", "Ivan", 1834, 20), ("h", "Ivan", 1850, 37), ("h", "Petr", 1850, 3), ("h", "Oleg", 1834, 20), ("h", "Oleg", 1850, 50)], "household string, name string, year int, age int")
+    got = {(r.name, r.year): (r.drift, r.state) for r in quality.household_drift(entries).collect()}
+    assert got["Ivan", 1850] == (1, "consistent") and got["Oleg", 1850] == (14, "drift") and got["Petr", 1850] == (None, "single")
+    platforms = spark.createDataFrame([("e", p) for p in "abc"] + [("f", "a"), (None, "a"), (None, "b"), (None, "c")], "email_hash string, platform string")
+    assert [tuple(r) for r in quality.identities(platforms).collect()] == [("e", 3)]

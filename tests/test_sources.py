@@ -91,3 +91,23 @@ def test_streams(spark, tmp_path):
     assert {r.id for r in streams.until_terminal(batch, "job", "ts", "id", "stage").collect()} == {1, 2, 3, 5}
     ended = run(streams.watch_jobs(live, "job", "ts", "stage"), "jobs")
     assert {(r.job, r.stages, r.ended) for r in ended.collect()} >= {("a", 3, True)}
+
+
+def test_progress_is_published(spark, tmp_path):
+    import time
+
+    seen = []
+    log = streams.ProgressLog(seen.append)
+    spark.streams.addListener(log)
+    try:
+        df = spark.range(3)
+        df.write.parquet(f"{tmp_path}/in")
+        query = streams.to_table(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck")
+        query.awaitTermination(60)
+        for _ in range(50):
+            if any(s == "succeeded" for _, s, _ in seen):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert {s for _, s, _ in seen} >= {"started", "running", "succeeded"} and sum(n for _, _, n in seen) == 3
