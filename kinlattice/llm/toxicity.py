@@ -307,7 +307,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Cha
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(1, n)))
-    sampled = docs.select("doc_id", "text").join(drawn.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
+    # the draw is bounded by ``sample``, so it is the side to send; the texts stay where they are
+    drawn = drawn.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    sampled = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     # copies of one toxic text would make evidence of all its words: a group of copies counts once
     sketched = Shelf(docs.sparkSession).put(sampled.mapInArrow(_sketcher, "doc_id long, text string, toxic int, sketch long"))
     one = sketched.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
