@@ -232,16 +232,23 @@ def segments(spark, d):
     return l.selectExpr("least(l_suppkey % 40, l_partkey % 40) AS a", "greatest(l_suppkey % 40, l_partkey % 40) AS b", "l_linenumber AS chrom", "l_quantity AS start", "l_quantity + 12 AS end").distinct()
 
 
-@query(
-    "g07_triplets",
-    f"""WITH t AS ({_SEGMENTS}) SELECT DISTINCT p.chrom, p.a AS x, p.b AS y, q.b AS z, greatest(p.s, q.s, r.s) AS "start", least(p.e, q.e, r.e) AS "end" FROM t p JOIN t q ON p.a = q.a AND p.chrom = q.chrom AND p.b < q.b
-        JOIN t r ON r.a = p.b AND r.b = q.b AND r.chrom = p.chrom WHERE least(p.e, q.e) - greatest(p.s, q.s) >= 7 AND least(p.e, q.e, r.e) - greatest(p.s, q.s, r.s) >= 7""",
-)
+_TRIPLETS = f"""WITH t AS ({_SEGMENTS}) SELECT DISTINCT p.chrom, p.a AS x, p.b AS y, q.b AS z, greatest(p.s, q.s, r.s) AS "start", least(p.e, q.e, r.e) AS "end" FROM t p JOIN t q ON p.a = q.a AND p.chrom = q.chrom AND p.b < q.b
+        JOIN t r ON r.a = p.b AND r.b = q.b AND r.chrom = p.chrom WHERE least(p.e, q.e) - greatest(p.s, q.s) >= 7 AND least(p.e, q.e, r.e) - greatest(p.s, q.s, r.s) >= 7"""
+
+
+@query("g07_triplets", _TRIPLETS)
 def _(spark, d):
     return I.triplets(segments(spark, d), 7.0, 10.0)
 
 
-@query("g06_triangulation_groups")
+@query(
+    "g06_triangulation_groups",
+    f"""WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY chrom, x, y, z, "start", "end") AS id, * FROM ({_TRIPLETS})),
+        e AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.chrom = b.chrom AND a.id <> b.id AND list_has_any([a.x, a.y, a.z], [b.x, b.y, b.z]) AND least(a."end", b."end") - greatest(a."start", b."start") >= 7),
+        r(id, c) AS (SELECT id, id FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT chrom, array_to_string(list_sort(list_distinct(flatten(list([x, y, z])))), ',') AS members, max("start") AS "start", min("end") AS "end" FROM t JOIN m USING (id)
+        GROUP BY chrom, c HAVING min("end") - max("start") >= 7""",
+)
 def _(spark, d):
     """Triplets of a chromosome that share a member and overlap are one group: its members and common interval."""
     return triangulation_groups(I.triplets(segments(spark, d), 7.0, 10.0), 7.0)
