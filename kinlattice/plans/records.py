@@ -219,20 +219,20 @@ def _(spark, d):
     from ..storage import ship
 
     ship(spark)
-    n = table(spark, d, "part").select("p_name").distinct().limit(1000)
-    pairs = n.selectExpr("p_name AS a").crossJoin(F.broadcast(n.orderBy("p_name").limit(5).selectExpr("p_name AS b")))  # five fixed queries against all
+    n = table(spark, d, "part").select("p_name").distinct()
+    pairs = n.selectExpr("p_name AS a").crossJoin(n.selectExpr("p_name AS b"))
     return pairs.select("a", "b", F.round(similarity.indel_ratio("a", "b"), 6).alias("ratio"))
 
 
 @query("f06_person_scores")
 def _(spark, d):
-    people = linkable(spark, d)
+    people = linkable(spark, d, "true")
     pairs = M.attach(M.blocked_pairs(people, "id", "codes"), people, people, "id")
     return M.person_scores(pairs).select("a", "b", F.round("score", 6).alias("score")).where("score > 0.5")
 
 
-def linkable(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 600")
+def linkable(spark, d, keep):
+    c = table(spark, d, "customer").where(keep)
     sex = F.when(F.col("c_custkey") % 3 == 0, "M").when(F.col("c_custkey") % 3 == 1, "F").otherwise("U")
     return c.select(
         F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("given"), F.concat(F.lit("name"), (F.col("c_custkey") % 50).cast("string")).alias("surname"), (1800 + F.col("c_custkey") % 5).alias("birth_year"),
@@ -299,9 +299,10 @@ def _(spark, d):
     "f29_archive_priority",
     """SELECT s_suppkey, c_custkey, round(0.5 * greatest(0, least(1900 + s_suppkey, 1950) - greatest(1850 + s_suppkey % 40, 1900) + 1) / greatest(50, 1) + 0.3 * (s_suppkey % 2 = 0)::INT + 0.2 * (c_acctbal > 5000)::INT, 6) AS priority
        FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey < 20""",
+    subset="s_suppkey < 20",
 )
-def _(spark, d):
-    s, c = table(spark, d, "supplier").where("s_suppkey < 20"), table(spark, d, "customer")
+def _(spark, d, keep):
+    s, c = table(spark, d, "supplier").where(keep), table(spark, d, "customer")
     both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
     years = F.greatest(F.lit(0), F.least(1900 + F.col("s_suppkey"), F.lit(1950)) - F.greatest(1850 + F.col("s_suppkey") % 40, F.lit(1900)) + 1) / F.greatest(F.lit(50), F.lit(1))
     score = 0.5 * years + 0.3 * (F.col("s_suppkey") % 2 == 0).cast("int") + 0.2 * (F.col("c_acctbal") > 5000).cast("int")
@@ -347,9 +348,9 @@ def _(spark, d):
     return found.unionByName(short)
 
 
-@query("f26_allele_overlap", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag = 'A' OR l_linestatus = 'F' END AS shares FROM lineitem WHERE l_orderkey < 2000")
-def _(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 2000")
+@query("f26_allele_overlap", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag = 'A' OR l_linestatus = 'F' END AS shares FROM lineitem WHERE l_orderkey < 2000", subset="l_orderkey < 2000")
+def _(spark, d, keep):
+    l = table(spark, d, "lineitem").where(keep)
     a = F.when(F.col("l_returnflag") == "N", "--").when(F.col("l_returnflag") == "A", "AC").otherwise("CC")
     b = F.when(F.col("l_linestatus") == "F", "AC").otherwise("AA")
     return l.select("l_orderkey", "l_linenumber", "l_partkey", M.shares_allele(a, b).alias("shares"))
@@ -367,19 +368,19 @@ def _(spark, d):
     return M.shared_variants(kit("o_orderkey % 3 = 0", real), kit("true", other)).select("rsid", "chrom", "pos")
 
 
-@query("j13_blocked_pairs", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey % 50 = b.c_custkey % 50 AND a.c_custkey < b.c_custkey WHERE b.c_custkey < 600")
-def _(spark, d):
-    return M.blocked_pairs(linkable(spark, d), "id", "codes")
+@query("j13_blocked_pairs", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey % 50 = b.c_custkey % 50 AND a.c_custkey < b.c_custkey WHERE b.c_custkey < 600", subset="c_custkey < 600", part="b.c_custkey < 600")
+def _(spark, d, keep):
+    return M.blocked_pairs(linkable(spark, d, keep), "id", "codes")
 
 
-@query("j14_token_pairs", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND list_has_any(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')) WHERE b.p_partkey < 200")
-def _(spark, d):
-    return M.token_pairs(table(spark, d, "part").where("p_partkey < 200"), "p_partkey", "p_name")
+@query("j14_token_pairs", "SELECT DISTINCT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND list_has_any(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' ')) WHERE b.p_partkey < 200", subset="p_partkey < 200", part="b.p_partkey < 200")
+def _(spark, d, keep):
+    return M.token_pairs(table(spark, d, "part").where(keep), "p_partkey", "p_name")
 
 
 @query("j20_greedy_assignment")
 def _(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 300")
+    l = table(spark, d, "lineitem")
     pairs = l.groupBy(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.max("l_quantity").alias("score"))
     return M.assign(pairs)
 
@@ -392,9 +393,9 @@ def _(spark, d):
     return M.match_families(side("l", 0), side("r", 100000), ids.select("a", (F.col("a") + 100000).alias("b")))
 
 
-@query("d02_safe_merge", "SELECT c_custkey AS a, c_custkey + 100000 AS b, 5.0::DOUBLE AS score FROM customer WHERE c_custkey < 150")
-def _(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 150")
+@query("d02_safe_merge", "SELECT c_custkey AS a, c_custkey + 100000 AS b, 5.0::DOUBLE AS score FROM customer WHERE c_custkey < 150", subset="c_custkey < 150")
+def _(spark, d, keep):
+    c = table(spark, d, "customer").where(keep)
     name = F.concat(F.lit("Sur"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "bdfgklmnrs"))
     left = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("G"), "c_custkey").alias("given"), name.alias("surname"), (F.lit(1800) + F.col("c_custkey") % 90).alias("birth_year"), F.concat(F.lit("T"), "c_custkey").alias("birth_place"), F.lit("M").alias("sex"))
     right = left.withColumn("id", F.col("id") + 100000)
@@ -567,9 +568,10 @@ def _(spark, d):
 @query(
     "d04_population_links",
     "SELECT l_orderkey AS a, l_suppkey AS b, CASE WHEN l_returnflag = l_linestatus THEN 'same' WHEN l_linenumber > 4 THEN 'documented' ELSE 'crossover' END AS verdict FROM lineitem WHERE l_orderkey < 1000",
+    subset="l_orderkey < 1000",
 )
-def _(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 1000")
+def _(spark, d, keep):
+    l = table(spark, d, "lineitem").where(keep)
     links = l.select(F.col("l_orderkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("population_a"), F.col("l_linestatus").alias("population_b"), F.greatest(F.col("l_linenumber") - 4, F.lit(0)).alias("sources"))
     return Q.separated_populations(links)
 
@@ -620,11 +622,12 @@ def _(spark, d):
     """WITH p AS (SELECT c_custkey AS id, c_custkey % 50 AS s, 1800 + c_custkey % 5 AS y, c_nationkey AS n, c_custkey % 3 AS sex FROM customer WHERE c_custkey < 600),
        q AS (SELECT a.id AS a, b.id AS b, abs(a.y - b.y) AS g, a.n = b.n AS same, a.sex < 2 AND b.sex < 2 AND a.sex <> b.sex AS clash FROM p a JOIN p b ON a.s = b.s AND a.id < b.id)
        SELECT a, b, round(greatest(least(1 - 0.5 * CASE WHEN g = 0 THEN 0.6 WHEN g <= 2 THEN 0.75 ELSE 1 END * CASE WHEN same THEN 0.6 ELSE 1 END - 0.1 * clash::INT, 1), 0.05), 6)::DOUBLE AS score FROM q""",
+    subset="c_custkey < 600",
 )
-def _(spark, d):
+def _(spark, d, keep):
     from . import pipelines
 
-    return rounded(pipelines.hypotheses(linkable(spark, d)).select("a", "b", "score"), "score")
+    return rounded(pipelines.hypotheses(linkable(spark, d, keep)).select("a", "b", "score"), "score")
 
 
 @query("e01_import", "SELECT 'persons' AS name, count(*) AS n FROM customer UNION ALL SELECT 'names', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM customer UNION ALL SELECT 'families', count(*) FROM customer WHERE c_custkey % 4 = 0")
@@ -721,20 +724,29 @@ def _(spark, d):
     return Q.parent_ages(pairs).where("rule = 'mother_age'").select("subject", "rule")
 
 
-@query("j26_propagated_matches", "SELECT c_custkey + 10000 AS a, c_custkey + 20000 AS b FROM customer WHERE c_custkey < 100 AND c_custkey % 2 = 0")
-def _(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 100")
-    k = F.col("c_custkey")
-    role = lambda s, base, who, step: c.where(f"c_custkey % 2 = 0 OR {step} = 0").select(F.lit(s).alias("source"), (k + base).alias("person"), F.lit(who).alias("role"), (k + base - 10000 + step + (0 if s == "l" else 0)).alias("other"))
+def propagated(c, unit):
+    """``unit``: greater than every key, so that the ids of fathers, mothers and children do not meet."""
+    k, far = F.col("c_custkey"), 10 * unit
+    role = lambda s, base, who, step: c.where(f"c_custkey % 2 = 0 OR {step} = 0").select(F.lit(s).alias("source"), (k + base).alias("person"), F.lit(who).alias("role"), (k + base - far + step).alias("other"))
     roles = None
-    for s, base in (("l", 10000), ("r", 20000)):
-        for who, step in (("child", 0), ("spouse", 1000)):
+    for s, base in (("l", far), ("r", 2 * far)):
+        for who, step in (("child", 0), ("spouse", unit)):
             part = role(s, base, who, step)
             roles = part if roles is None else roles.unionByName(part)
-    known = c.select(k.alias("a"), (k + 10000).alias("b")).unionByName(c.select((k + 1000).alias("a"), (k + 11000).alias("b")))
+    known = c.select(k.alias("a"), (k + far).alias("b")).unionByName(c.select((k + unit).alias("a"), (k + far + unit).alias("b")))
     return M.propagate(roles, known)
 
 
+@query("j26_propagated_matches", "SELECT c_custkey + 10000 AS a, c_custkey + 20000 AS b FROM customer WHERE c_custkey < 100 AND c_custkey % 2 = 0")
+def _(spark, d):
+    return propagated(table(spark, d, "customer").where("c_custkey < 100"), 1000)
+
+
+@query("j26_propagated_matches_whole", f"SELECT c_custkey + {10 * 10**12} AS a, c_custkey + {20 * 10**12} AS b FROM customer WHERE c_custkey % 2 = 0")
+def _(spark, d):
+    return propagated(table(spark, d, "customer"), 10**12)
+
+
 @query("j27_text_references", "SELECT doc_id, p_name AS ref FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)) JOIN (SELECT DISTINCT p_name FROM part) ON w = string_split(p_name, ' ')[1]")
 def _(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
@@ -748,20 +760,20 @@ def _(spark, d):
     return nodes.groupBy("file").agg(F.count_if(F.col("tag").startswith("_")).alias("vendor_tags"), F.count_if(F.col("tag") == "DATE").alias("approximate"))
 
 
-@query("g14_resolved_references", "SELECT a AS anchor, a // 2 AS node FROM (SELECT c_custkey AS a FROM customer WHERE c_custkey BETWEEN 40 AND 60)")
-def _(spark, d):
+@query("g14_resolved_references", "SELECT a AS anchor, a // 2 AS node FROM (SELECT c_custkey AS a FROM customer WHERE c_custkey BETWEEN 40 AND 60)", subset="c_custkey BETWEEN 40 AND 60", whole="SELECT c_custkey AS anchor, c_custkey // 2 AS node FROM customer WHERE c_custkey > 0")
+def _(spark, d, keep):
     from ..functions import kinship as K
     from ..operators import graph as G
     from .evidence import kinship
 
-    start = table(spark, d, "customer").where("c_custkey BETWEEN 40 AND 60").select(F.col("c_custkey").alias("id"))
+    start = table(spark, d, "customer").where(keep).select(F.col("c_custkey").alias("id"))
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("U").alias("sex"))
-    return G.walk(start, kinship(spark, d), people, K.steps("my father"))
+    return G.walk(start, kinship(spark, d, "true"), people, K.steps("my father"))
 
 
-@query("d01_dna_against_tree", "SELECT DISTINCT kit, id FROM (SELECT l_orderkey AS kit, unnest([l_suppkey, l_partkey % 100]) AS id FROM lineitem WHERE l_orderkey < 300 AND l_suppkey <> l_partkey % 100) WHERE id % 2 = 0")
-def _(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 300").selectExpr("l_orderkey AS kit", "l_suppkey AS a", "l_partkey % 100 AS b").where("a <> b")
+@query("d01_dna_against_tree", "SELECT DISTINCT kit, id FROM (SELECT l_orderkey AS kit, unnest([l_suppkey, l_partkey % 100]) AS id FROM lineitem WHERE l_orderkey < 300 AND l_suppkey <> l_partkey % 100) WHERE id % 2 = 0", subset="l_orderkey < 300")
+def _(spark, d, keep):
+    l = table(spark, d, "lineitem").where(keep).selectExpr("l_orderkey AS kit", "l_suppkey AS a", "l_partkey % 100 AS b").where("a <> b")
     links = l.select("kit", F.explode(F.array("a", "b")).alias("id")).distinct().withColumns({"cm": F.lit(200.0), "dna_line": F.lit("paternal"), "tree_line": F.when(F.col("id") % 2 == 0, "maternal").otherwise("paternal")})
     return Q.dna_against_tree(links, l)
 
