@@ -14,6 +14,8 @@ from .common import Shelf, ascii_lower, table
 WINDOW = 13
 #: A word: letters and digits, and every character above 7F.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same of a text that is not in lower case, where A-Z are letters, and what a word is there.
+RAW_GAP, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: More anchors than this are neither sent with the plan nor broadcast (a window is about 100 bytes).
 BROADCAST_WINDOWS = 200_000
 
@@ -123,9 +125,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         return keyed.join(bad.drop("hits").hint("merge"), same, "left_anti").select(*docs.columns)
     assert remove == "spans"
     # words and the gaps around them; a word goes together with the gap before it
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     parts = keyed.join(bad, same, "left").withColumns(
-        {"_words": F.filter(F.split("text", GAP, -1), lambda w: w != ""), "_gaps": F.split("text", word, -1)}
+        {"_words": F.filter(F.split("text", RAW_GAP, -1), lambda w: w != ""), "_gaps": F.split("text", RAW_WORD, -1)}
     )
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
     parts = parts.withColumn("_hit", F.when(F.col("hits").isNotNull(), hit))

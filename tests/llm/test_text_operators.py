@@ -229,3 +229,25 @@ def test_personal_data_beyond_patterns(spark):
     out = {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert ("phone", 4, 21) in out[100] and ("card", 22, 38) in out[100] and out[101] == [] and out[102] == []
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decontaminate_spans_of_any_case(spark):
+    item = "The USA and I saw A McDonald sign near the old NATO base in Paris today"
+    rows = [
+        (1, f"USA NEWS: I Went home. {item}! Then A USA Visit."), (2, f"ABC {item.upper()} -- XYZ I"), (3, f"camelCase iPhone, {item.lower()}. The End"),
+        (4, f"{item}"), (5, "THE USA AND I saw nothing."), (6, None),
+    ]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    grams = [w.lower() for w in word.findall(item)]
+    want = {}
+    for i, t in rows:
+        found = list(word.finditer(t or ""))
+        low = [m[0].lower() for m in found]
+        hit = {k + j for k in range(len(low) - 12) for s in range(len(grams) - 12) if low[k : k + 13] == grams[s : s + 13] for j in range(13)}
+        out, at = "", 0
+        for k, m in enumerate(found):  # a word goes together with the gap before it
+            out, at = out + ("" if k in hit else t[at : m.end()]), m.end()
+        want[i] = t if not hit else out + t[at:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), remove="spans").collect()}
+    assert got == want and want[1] == "USA NEWS: I Went home! Then A USA Visit." and want[2] == "ABC -- XYZ I"
