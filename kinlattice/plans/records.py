@@ -252,6 +252,11 @@ def _(spark, d):
     return docs.select("doc_id", phonetic.canonical_form(F.left("text", F.lit(30))).alias("form"))
 
 
+@query("f13_canonical_form_whole", "SELECT doc_id, translate(replace(lower(trim(text)), 'ß', 'ss'), 'äöüéèêçñóíáâàùûîïô', 'aoueeecnoiaaauuiio') AS form FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", phonetic.canonical_form(F.col("text")).alias("form"))
+
+
 @query("f16_name_parts", "SELECT c_custkey, 'Ivan' AS given, 'Petrovich' AS patronymic, c_mktsegment AS surname FROM customer")
 def _(spark, d):
     full = F.concat_ws(" ", F.lit("Ivan"), F.lit("Petrovich"), "c_mktsegment")
@@ -333,8 +338,22 @@ def _(spark, d):
        SELECT item_id, doc_id FROM q JOIN d ON contains(t, q) WHERE length(q) > 20""",
 )
 def _(spark, d):
+    return quoted(spark, d, F.left("text", F.lit(60)), "char_length(q) > 20")
+
+
+@query(
+    "f36_quote_containment_whole",
+    r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g')) AS q FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-zà-ÿ]+', ' ', 'g') AS t FROM documents)
+       SELECT item_id, doc_id FROM q JOIN d ON contains(t, q) WHERE q <> ''""",
+)
+def _(spark, d):
+    return quoted(spark, d, F.col("text"), "q <> ''")
+
+
+def quoted(spark, d, quote, keep):
+    """(item_id, doc_id): normalised texts that hold an item's normalised ``quote``, of those that ``keep`` holds."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-zà-ÿ]+", " ")
-    quotes = table(spark, d, "benchmark").select("item_id", F.trim(plain(F.left("text", F.lit(60)))).alias("q")).where("char_length(q) > 20")
+    quotes = table(spark, d, "benchmark").select("item_id", F.trim(plain(quote)).alias("q")).where(keep)
     # words inside a quote are whole words of any text that holds it: an equi-join on the longest, then the comparison
     words = F.split("q", " ")
     inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda a, b: F.length(b) - F.length(a))
@@ -663,7 +682,16 @@ def _(spark, d):
 
 @query("f12_diacritic_variants", "SELECT doc_id, CASE WHEN contains(text, 'ä') THEN 2 ELSE 1 END AS forms FROM (SELECT doc_id, regexp_replace(left(text, 40), '[^a-zä]', '', 'g') AS text FROM documents)")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.left("text", F.lit(40)), "[^a-zä]", "").alias("t"))
+    return folded_forms(spark, d, F.left("text", F.lit(40)))
+
+
+@query("f12_diacritic_variants_whole", "SELECT doc_id, CASE WHEN contains(text, 'ä') THEN 2 ELSE 1 END AS forms FROM documents")
+def _(spark, d):
+    return folded_forms(spark, d, F.col("text"))
+
+
+def folded_forms(spark, d, text):
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace(text, "[^a-zä]", "").alias("t"))
     plain = F.array_distinct(F.array(F.col("t"), phonetic.fold(F.col("t"), "de")))
     return docs.select("doc_id", F.size(plain).alias("forms"))
 

@@ -100,3 +100,18 @@ def test_triangulation_groups(spark, tmp_path):
     assert got == sorted(want) and len(trip) > len(groups) > 3
     # some of these rows lie beyond the orders that the query on a subset takes
     assert got != sorted(map(tuple, catalog.QUERIES["g06_triangulation_groups"](spark, str(tmp_path)).collect()))
+
+
+def test_whole_texts(spark, tmp_path):
+    start = "this opening of a benchmark item has more than sixty letters of text in it"
+    docs = [
+        (1, f"say {start}, and then the Grüße at its end.", "en"), (2, f"Say {start} but another end", "en"), (3, f"say {start} but another end ", "en"), (4, "Straße und Mädchen", "de"),
+        (5, "x" * 45 + "ä", "de"), (6, "Oh no", "en"),
+    ]
+    write(spark, tmp_path, "documents", docs, "doc_id long, text string, lang string")
+    write(spark, tmp_path, "benchmark", [(10, f"{start} and then the grüße"), (11, "Oh, no!"), (12, "!")], "item_id long, text string")
+    run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("f36_quote_containment_whole") == {(10, 1), (11, 6)}
+    assert run("f13_canonical_form_whole") >= {(1, f"say {start}, and then the grusse at its end."), (4, "strasse und madchen")}
+    assert run("f12_diacritic_variants_whole") == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 1)}
+    assert run("a12_collision_groups_whole") == {(f"say {start} but another end", "en", 2, 1, 2, 3)}
