@@ -58,11 +58,87 @@ def cross_blocked_pairs(a: DataFrame, b: DataFrame, key: str, codes: str) -> Dat
 
 
 def token_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b), a < b, of texts that share a word: a lossless block for set ratios above 2/3 of unequal words."""
+    """(a, b), a < b, of texts that share a word. A block that loses pairs: misspelt words; ``similar_texts`` has those."""
     words = df.select(F.col(key).alias("k"), F.explode(similarity.word_set(F.col(text))).alias("w"))
     return words.withColumnRenamed("k", "a").join(words.withColumnRenamed("k", "b"), "w").where("a < b").select("a", "b").distinct()
 
 
+def block_keys(least: float):
+    """Of a text: its words, and its sorted words' first characters that a text without a common word must share.
+
+    Without a common word the token-set ratio is the Indel ratio 2 * LCS / (m + n) of the sorted words.
+    The LCS is at most the number of common characters (the k-th of a letter counts as one of its own)
+    and at most m, so a ratio of ``least`` needs at least m * least / (2 - least) of them, of both texts
+    in turn. Two sets with that many in common share one among the first m - that + 1, in any one order.
+    """
+
+    @F.pandas_udf("array<string>")
+    def run(texts):
+        import math
+
+        import pandas as pd
+
+        out = []
+        for text in texts:
+            words = sorted(set(text.strip().lower().split()))
+            line, seen, marks = " ".join(words), {}, []
+            for c in line:
+                seen[c] = seen.get(c, 0) + 1
+                marks.append((-seen[c], c))
+            need = max(1, math.ceil(len(line) * least / (2 - least) - 1e-9))
+            keys = [f"c:{-k}{c}" for k, c in sorted(marks)[: len(marks) - need + 1]]
+            out.append([f"w:{w}" for w in words] + keys if words else ["none"])
+        return pd.Series(out)
+
+    return run
+
+
+def similar_texts(texts: DataFrame, least: float, nested: bool = False) -> DataFrame:
+    """(x, y, ratio), x <= y: all pairs of the distinct ``texts`` (text) with a token-set ratio of ``least`` or more.
+
+    With ``nested`` also those where one place is the beginning of the other. 0 < ``least`` <= 1.
+    """
+    assert 0 < least <= 1
+    ship(texts.sparkSession)
+    texts = texts.where("text IS NOT NULL").select("text").distinct()
+    keys = block_keys(least)(F.col("text"))
+    if nested:
+        level = F.get(similarity.levels(F.col("text")), 0)
+        keys = F.concat(keys, F.when(level.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("l:"), level))))
+    by = texts.select("text", F.explode(F.array_distinct(keys)).alias("key"))
+    near = by.withColumnRenamed("text", "x").join(by.withColumnRenamed("text", "y"), "key").where("x < y").select("x", "y").distinct()
+    every = near.unionByName(texts.selectExpr("text AS x", "text AS y")).withColumn("ratio", similarity.token_set_ratio("x", "y"))
+    keep = F.col("ratio") >= least - 1e-9
+    return every.where(keep | (similarity.place_score(F.col("x"), F.col("y"), F.col("ratio")) >= 0.85) if nested else keep)
+
+
+def _ids(found: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b, ratio), a < b: the rows of ``df`` with the texts found; equal texts pair once."""
+    side = lambda k, t: df.select(F.col(key).alias(k), F.col(text).alias(t))
+    both = found.join(side("_i", "x"), "x").join(side("_j", "y"), "y").where("_i <> _j AND (x <> y OR _i < _j)")
+    return both.select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), "ratio")
+
+
+def source_pairs(sources: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """(a, b, score), a < b: all pairs of sources with a source score of ``least`` or more.
+
+    ``sources``: (key, title, authors array, abbreviation); a null array is no authors. Authors add at most
+    .2 and abbreviations .1, which bounds the title's ratio from below.
+    """
+    floor = min((least - 0.3) / 0.7, (least - 0.1) / 0.9)
+    pairs = _ids(similar_texts(sources.select(F.col("title").alias("text")), floor), sources, key, "title")
+    sides = attach(pairs, *[sources.select(key, F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "abbreviation")] * 2, key)
+    score = similarity.source_score(F.col("ratio"), *(F.col(c) for c in ("authors_a", "authors_b", "abbreviation_a", "abbreviation_b")))
+    return sides.select("a", "b", score.alias("score")).where(F.col("score") >= least)
+
+
+def place_pairs(places: DataFrame, key: str, least: float = 0.8) -> DataFrame:
+    """(a, b, score), a < b: all pairs of places with a place score of ``least`` or more. ``places``: (key, place)."""
+    found = similar_texts(places.select(F.col("place").alias("text")), least, nested=True)
+    scored = found.withColumn("ratio", similarity.place_score(F.col("x"), F.col("y"), F.col("ratio"))).where(F.col("ratio") >= least)
+    return _ids(scored, places, key, "place").withColumnRenamed("ratio", "score")
+
+
 def attach(pairs: DataFrame, a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs with both sides' columns, suffixed _a and _b."""
     side = lambda df, s: df.select(F.col(key).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != key))

@@ -397,6 +397,18 @@ def _(spark, d, keep):
     return M.token_pairs(table(spark, d, "part").where(keep), "p_partkey", "p_name")
 
 
+@query("j14_source_pairs")
+def _(spark, d):
+    p = table(spark, d, "part")
+    return rounded(M.source_pairs(p.select("p_partkey", F.col("p_name").alias("title"), F.array("p_brand").alias("authors"), F.col("p_type").alias("abbreviation")), "p_partkey"), "score")
+
+
+@query("j14_place_pairs")
+def _(spark, d):
+    places = table(spark, d, "supplier").select("s_suppkey", F.concat_ws(", ", "s_name", F.concat(F.lit("Land "), F.col("s_nationkey").cast("string"))).alias("place"))
+    return rounded(M.place_pairs(places, "s_suppkey"), "score")
+
+
 @query("j20_greedy_assignment")
 def _(spark, d):
     l = table(spark, d, "lineitem")

@@ -5,6 +5,7 @@ import random
 
 from kinlattice import catalog
 from kinlattice.functions import similarity
+from kinlattice.operators import matching
 
 
 def write(spark, path, name, rows, schema):
@@ -115,3 +116,41 @@ def test_whole_texts(spark, tmp_path):
     assert run("f13_canonical_form_whole") >= {(1, f"say {start}, and then the grusse at its end."), (4, "strasse und madchen")}
     assert run("f12_diacritic_variants_whole") == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 1)}
     assert run("a12_collision_groups_whole") == {(f"say {start} but another end", "en", 2, 1, 2, 3)}
+
+
+SLIPS = [
+    "Moscow", "moskow", "Mosckow", "Slonim", "Slonim, Grodno", "Slonin, Grodno", "slonim, Grodno, Russian Empire", "Grodno", "parish register", "register parish", "Parisch registar", "aab", "baa", "a", "b", "", " ", ",",
+    "Census of 1897", "census 1897 of", "Cenzus  of 1896", "日本 東京", "日本 東亰", None, "Moscow",
+]
+
+
+def test_place_pairs(spark):
+    score = lambda a, b: (lambda t, x, y: max(t, 0.85 + 0.15 * t) if x and x == y[: len(x)] else t)(
+        similarity.token_set(a, b), *sorted(([w.strip().lower() for w in p.split(",") if w.strip()] for p in (a, b)), key=len)
+    )
+    for least in (0.6, 0.8):
+        want = {(i, j): round(score(a, b), 6) for (i, a), (j, b) in itertools.combinations(enumerate(SLIPS), 2) if a is not None and b is not None and score(a, b) >= least}
+        places = spark.createDataFrame(list(enumerate(SLIPS)), "id long, place string")
+        got = [(r.a, r.b, round(r.score, 6)) for r in matching.place_pairs(places, "id", least).collect()]
+        assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    assert (0, 1) in want and (3, 6) in want  # a slip without a common word; a place within a place
+
+
+def test_source_pairs(spark):
+    rng = random.Random(2)
+    titles = [t for t in SLIPS if t] + ["".join(rng.choice("abc ") for _ in range(rng.randint(3, 9))) + "x" for _ in range(60)]
+    rows = [(k, t, [None, ["x"], ["x", "y"], ["z"], []][k % 5], [None, "AB", " ab ", ""][k % 4]) for k, t in enumerate(titles)]
+
+    def score(a, b):
+        x, y = set(a[2] or ()), set(b[2] or ())
+        t = similarity.token_set(a[1], b[1])
+        base = t * 0.7 + len(x & y) / len(x | y) * 0.2 if x and y else t * 0.9
+        p, q = ((s or "").strip().lower() for s in (a[3], b[3]))
+        return min(base + (0.1 if p == q != "" else 0.0), 1.0)
+
+    sources = spark.createDataFrame(rows, "id long, title string, authors array<string>, abbreviation string")
+    got = [(r.a, r.b, round(r.score, 6)) for r in matching.source_pairs(sources, "id", 0.75).collect()]
+    want = {(a[0], b[0], round(score(a, b), 6)) for a, b in itertools.combinations(rows, 2) if score(a, b) >= 0.75}
+    assert len(got) == len(want) and set(got) == want
+    words = lambda k: set(titles[k].lower().split())
+    assert any(not words(a) & words(b) for a, b, _ in want)
