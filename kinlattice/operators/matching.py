@@ -123,7 +123,7 @@ def source_pairs(sources: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     """(a, b, score), a < b: all pairs of sources with a source score of ``least`` or more.
 
     ``sources``: (key, title, authors array, abbreviation); a null array is no authors. Authors add at most
-    .2 and abbreviations .1, which bounds the title's ratio from below.
+    .2 and abbreviations .1, which bounds the title's ratio from below; ``least`` must be above .3 for that.
     """
     floor = min((least - 0.3) / 0.7, (least - 0.1) / 0.9)
     pairs = _ids(similar_texts(sources.select(F.col("title").alias("text")), floor), sources, key, "title")
@@ -258,6 +258,42 @@ def top(df: DataFrame, key: str, k: int, *ties: str) -> DataFrame:
     return df.withColumn("rank", order).where(F.col("rank") <= k)
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(q, c, score, rank): the ``k`` rows of greatest cosine for each query but itself, ties by id; rounded to 6 digits.
+
+    ``rows`` and ``queries``: (id, v array<double>). Both are dealt into blocks of about ``block`` rows, each
+    block is compared with each in one task, and only the ``k`` best of a query leave it. Clipped to 0..1; 0
+    for different lengths or a zero vector.
+    """
+    ship(rows.sparkSession)
+    parts = lambda df: max(1, -(-df.count() // block))
+    n, m = parts(rows), parts(queries)
+    deal = lambda df, own, other, x, y: df.select(F.pmod(F.xxhash64("id"), F.lit(own)).cast("long").alias(x), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))).alias(y), "id", "v")
+
+    def best(q, c):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        ids = c["id"].to_numpy()
+        scores = np.zeros((len(q), len(c)))
+        sizes, widths = q["v"].map(len).to_numpy(), c["v"].map(len).to_numpy()
+        for size in set(sizes) & set(widths) - {0}:
+            i, j = np.flatnonzero(sizes == size), np.flatnonzero(widths == size)
+            a, b = np.stack(q["v"].iloc[i].to_list()), np.stack(c["v"].iloc[j].to_list())
+            norm = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+            scores[np.ix_(i, j)] = np.where(norm > 0, (a @ b.T) / np.where(norm > 0, norm, 1), 0).clip(0, 1)
+        for key, row in zip(q["id"], scores.round(6), strict=True):
+            at = [x for x in np.lexsort((ids, -row))[: k + 1] if ids[x] != key][:k]
+            out.append(pd.DataFrame({"q": key, "c": ids[at], "score": row[at]}))
+        return pd.concat(out) if out and len(c) else pd.DataFrame({"q": [], "c": [], "score": []})
+
+    kind = dict(rows.dtypes)["id"]
+    both = deal(queries, m, n, "_q", "_c").groupBy("_q", "_c").cogroup(deal(rows, n, m, "_c", "_q").groupBy("_q", "_c"))
+    found = both.applyInPandas(best, f"q {kind}, c {kind}, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("rank") <= k)
+
+
 def safe_merge(left: DataFrame, right: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, score): matches across two sources by how many of five facts agree, one to one.
 

@@ -300,6 +300,16 @@ def _(spark, d):
     return R.ranked(scored, ["q"], [F.desc("score"), F.asc("c")], 5)
 
 
+@query(
+    "f28_cosine_top_k_whole",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS q, e.vec_id AS c, round(greatest(0, least(1, list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v)))), 6) AS score
+       FROM e q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, c)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""",
+)
+def _(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return M.nearest(e, e.where("id % 50 = 0"), 5)
+
+
 @query(
     "f29_archive_priority",
     """SELECT s_suppkey, c_custkey, round(0.5 * greatest(0, least(1900 + s_suppkey, 1950) - greatest(1850 + s_suppkey % 40, 1900) + 1) / greatest(50, 1) + 0.3 * (s_suppkey % 2 = 0)::INT + 0.2 * (c_acctbal > 5000)::INT, 6) AS priority

@@ -154,3 +154,24 @@ def test_source_pairs(spark):
     assert len(got) == len(want) and set(got) == want
     words = lambda k: set(titles[k].lower().split())
     assert any(not words(a) & words(b) for a, b, _ in want)
+
+
+def test_nearest(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(220)] + [(300, [0.0] * 4), (350, [1.0, 2.0]), (351, [2.0, 4.0]), (352, [])]
+    write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return 0.0 if len(a) != len(b) or not size else min(1.0, max(0.0, sum(x * y for x, y in zip(a, b, strict=True)) / size))
+
+    want = {}
+    for q, v in rows:
+        if q % 50 == 0:
+            want[q] = sorted(((c, round(cosine(v, w), 6)) for c, w in rows if c != q), key=lambda x: (-x[1], x[0]))[:5]
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v")
+    for out in (catalog.QUERIES["f28_cosine_top_k_whole"](spark, str(tmp_path)), matching.nearest(df, df.where("id % 50 = 0"), 5, block=3)):
+        got = {}
+        for r in out.orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append((r.c, round(r.score, 6)))
+        assert got == want and len(want) == 7
