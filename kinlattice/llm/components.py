@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, spread_join
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    # the centre of a large star holds most rows
+    return spread_join(both, least, ["a"], "b").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, ship
+from .common import Shelf, maybe_broadcast, ship, spread_join
 from .components import components
 from .shingles import MinHash, fingerprint, overlap, shingle_set, word_hashes
 
@@ -27,6 +27,10 @@ MINIMA, MISS = 125, 1e-6
 SLACK = 0.2
 #: Rows of each side of a block, about.
 BLOCK = 200
+#: A text with more pairs than this is given to several tasks.
+HOT = 1000
+#: Distinct hot texts that are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -43,7 +47,7 @@ def _scanner(shingle: int):
         minhash = MinHash(MINIMA)
         for batch in batches:
             rows = {"f1": [], "f2": [], "n": [], "sig": []}
-            for t in batch.column(1):
+            for t in batch.column(2):
                 words = word_hashes(t.as_py() or "")
                 items = shingle_set(words, shingle)
                 one, two = fingerprint(words)
@@ -52,8 +56,8 @@ def _scanner(shingle: int):
                 rows["n"].append(len(items))
                 rows["sig"].append(minhash.signature(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(rows["f1"], pa.int64()), pa.array(rows["f2"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["sig"], pa.list_(pa.int32()))],
-                names=["doc_id", "f1", "f2", "n", "sig"],
+                [batch.column(0), batch.column(1), pa.array(rows["f1"], pa.int64()), pa.array(rows["f2"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["sig"], pa.list_(pa.int32()))],
+                names=["doc_id", "h", "f1", "f2", "n", "sig"],
             )
 
     return run
@@ -95,8 +99,14 @@ def _verifier(shingle: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shelf: Shelf, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. The partners of a hot ``a`` are dealt to several tasks."""
+    hot = shelf.put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).alias("parts")))
+    hot = maybe_broadcast(hot, hot.count(), BROADCAST_ROWS)
+    one = F.coalesce("parts", F.lit(1).cast("long"))
     side = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"), F.col("sig").alias(f"sig_{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "sig_a", "sig_b")
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).alias("part"))
+    copied = side("a").join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
+    both = dealt.join(side("b"), "b").join(copied, ["a", "part"]).select("a", "b", "text_a", "text_b", "sig_a", "sig_b")
     return shelf.put(both.mapInArrow(_verifier(shingle, percent), "a long, b long").distinct())
 
 
@@ -107,44 +117,61 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     their distinct ``shingle``-word shingles >= ``percent`` * union; texts with fewer words are one
     shingle; null texts and texts without words have none and are linked with nothing. The component
     is the least doc_id reachable. Several rows with one doc_id are one document, linked through any
-    of its texts. Rows with a null doc_id are linked with nothing and kept, component_id null. Other
-    columns of ``docs`` are not used; an empty table gives an empty result.
+    of its texts, and get one component; n_shingles is that of the row's own text. Rows with a null
+    doc_id are linked with nothing and kept, component_id null. Word sequences are equal when 128 bits
+    of hash are. Other columns of ``docs`` are not used; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     shelf = Shelf(spark)
-    docs = docs.select("doc_id", "text")
-    scan = shelf.put(docs.mapInArrow(_scanner(shingle), "doc_id long, f1 long, f2 long, n long, sig array<int>"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    scan = shelf.put(docs.mapInArrow(_scanner(shingle), "doc_id long, h long, f1 long, f2 long, n long, sig array<int>"))
     reps = shelf.put(
-        scan.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        scan.where("n > 0 AND doc_id IS NOT NULL")
+        .groupBy("f1", "f2")
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
     )
     bands, rows = banding(percent)
     band = lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, rows))
     buckets = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    members = shelf.put(buckets.join(shared.select("bucket", "first"), "bucket"))
+    members = shelf.put(spread_join(buckets, shared.select("bucket", "first"), ["bucket"], "rep"))
     pairs = shelf.put(members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    # the texts and signatures of documents that share a band with another text
-    wanted = members.select("rep").distinct().join(reps.select("rep", "sig").dropDuplicates(["rep"]), "rep")
-    texts = shelf.put(
-        docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").withColumn("_h", F.xxhash64("text")).dropDuplicates(["rep", "_h"]).drop("_h")
-    )
+    # documents that share a band with another: each of their texts with its own signature
+    wanted = scan.where("n > 0").select(F.col("doc_id").alias("rep"), "h", "sig").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.dropDuplicates(["rep", "h"]), ["rep", "h"])
+    texts = shelf.put(texts.dropDuplicates(["rep", "h"]).drop("h"))
+    own = _several(scan, reps, shelf)
     edges = _links(pairs, texts, shelf, shingle, percent)
+    edges = edges if own is None else shelf.put(edges.unionByName(own))
     roots = components(edges, shelf)
     edges = _rest(members, roots, texts, shelf, shingle, percent, edges)
     roots = components(edges, shelf) if edges is not None else roots
-    out = (
-        scan.select("doc_id", "f1", "f2", "n")
-        .join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
-        .join(roots.select(F.col("b").alias("rep"), F.col("a").alias("root")), "rep", "left")
-    )
-    least = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep", "doc_id"))
+    shelf.drop(members, pairs, texts)
+    # a group of copies may hold a third of all rows; a text of its own is its document's
+    root = roots.select(F.col("b").alias("rep"), F.col("a").alias("root"))
+    copies = reps.where(F.col("rows") > 1).select("f1", "f2", "rep").join(root, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("label"))
+    out = spread_join(scan.select("doc_id", "f1", "f2", "n"), copies, ["f1", "f2"], "doc_id", "left")
+    out = out.join(root.withColumnRenamed("rep", "doc_id"), "doc_id", "left")
+    least = F.when(F.col("n") > 0, F.coalesce("label", "root", "doc_id")).otherwise(F.coalesce("root", "doc_id"))
     least = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(least)
     return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
+def _several(scan: DataFrame, reps: DataFrame, shelf: Shelf) -> DataFrame | None:
+    """Edges (a, b) between a document with several texts and the first holder of each; None if there is no such document."""
+    text = F.struct("f1", "f2")
+    found = scan.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi"))
+    found = shelf.put(found.where("lo <> hi").select("doc_id"))
+    if found.isEmpty():
+        return None
+    held = scan.where("n > 0").select("doc_id", "f1", "f2").join(found, "doc_id", "left_semi")
+    edges = spread_join(held, reps.select("f1", "f2", "rep"), ["f1", "f2"], "doc_id").where("rep < doc_id")
+    return shelf.put(edges.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
+
+
 def _rest(members, roots, texts, shelf: Shelf, shingle: int, percent: int, edges: DataFrame) -> DataFrame | None:
     """All links after those of the buckets' first members; None if there can be no more.
 
@@ -157,11 +184,12 @@ def _rest(members, roots, texts, shelf: Shelf, shingle: int, percent: int, edges
         "bucket", "rep", F.coalesce("root", "rep").alias("root")
     )
     open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "lo")
-    state = shelf.put(now.join(open_, "bucket").select("rep", "root", "lo").distinct())
+    state = shelf.put(spread_join(now, open_, ["bucket"], "rep").select("rep", "root", "lo").distinct())
     if state.isEmpty():
         return None
     joined = components(state.where("lo < root").select(F.col("lo").alias("a"), F.col("root").alias("b")), shelf)
-    who = state.select("rep", "root").distinct().join(joined.select(F.col("b").alias("root"), F.col("a").alias("c")), "root", "left")
+    named = joined.select(F.col("b").alias("root"), F.col("a").alias("c"))
+    who = spread_join(state.select("rep", "root").distinct(), named, ["root"], "rep", "left")
     who = shelf.put(who.select("rep", "root", F.coalesce("c", "root").alias("cluster")))
     sizes = who.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
     # the largest component of a cluster and how many blocks each side has
@@ -169,7 +197,7 @@ def _rest(members, roots, texts, shelf: Shelf, shingle: int, percent: int, edges
     blocks = blocks.select(
         "cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("n_rest")
     )
-    rows = who.join(blocks, "cluster")
+    rows = spread_join(who, blocks, ["cluster"], "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     every = rows.select("cluster", "rep", "root", F.lit(0).alias("side"), own("n_all").alias("x"), span("n_rest").alias("y"))
