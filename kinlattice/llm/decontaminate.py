@@ -1,23 +1,29 @@
 """Benchmark decontamination: windows of test items found in training texts, word for word.
 
-Every window has an anchor, its longest word. A training text is scanned for anchors; only there is
-the context cut out, joined with the windows of that anchor, and compared in full.
+Every window of an item is hashed, and so is every window of a training text, from its words' hashes. A
+broadcast set of the items' hashes picks the windows that may be equal; only those are written out as
+words and compared in full. Large benchmarks are taken in blocks, each a broadcast set of bounded size,
+so no row of a training text is ever shuffled by a window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, ascii_lower, table
+from .common import Shelf, ascii_lower, maybe_broadcast, table
 
 WINDOW = 13
 #: A word: letters and digits, and every character above 7F.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same of a text that is not in lower case, where A-Z are letters, and what a word is there.
 RAW_GAP, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: More anchors than this are neither sent with the plan nor broadcast (a window is about 100 bytes).
-BROADCAST_WINDOWS = 200_000
+#: Distinct window hashes of a broadcast set (16 bytes each); a benchmark with more is taken in blocks.
+BLOCK_WINDOWS = 1_000_000
+#: Hits, of all texts together, that are broadcast (about 50 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -25,8 +31,14 @@ def words_of(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
+def window_hashes(words: Column, size: int) -> Column:
+    """A hash of each run of ``size`` words, by its start; ``words`` are the words' hashes."""
+    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
+    return F.when(F.size(words) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(anchor, offset, len, gram, item_ids): every distinct window of the items (``item_id``, ``text``).
+    """(h, len, gram, item_ids): every distinct window of the items (``item_id``, ``text``) and its hash.
 
     Items without words, or without an id, have none; an item of fewer words is one window.
     """
@@ -34,55 +46,54 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1))
     grams = words.select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k, window))).alias("w"))
     distinct = grams.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    longest = F.array_max(F.transform("w", lambda x: F.char_length(x)))
-    offset = F.array_position(F.transform("w", lambda x: F.char_length(x)), longest) - 1
     return distinct.select(
-        F.element_at("w", (offset + 1).cast("int")).alias("anchor"),
-        offset.cast("int").alias("offset"),
-        F.size("w").alias("len"),
-        F.array_join("w", " ").alias("gram"),
-        "item_ids",
+        F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("h"), F.size("w").alias("len"), F.array_join("w", " ").alias("gram"), "item_ids"
     )
 
 
-def find_windows(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS
-) -> DataFrame:
-    """(doc_id, _h1, _h2, n_words, hits) for every distinct (doc_id, text) of ``docs``.
+def _text_key() -> dict[str, Column]:
+    return {"_h1": F.xxhash64("text"), "_h2": F.hash("text")}
+
+
+def _same_text(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with its key columns renamed, and the condition that joins it to rows with (doc_id, _h1, _h2)."""
+    side = df.withColumnsRenamed({"doc_id": "_d", "_h1": "_g1", "_h2": "_g2"})
+    return side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+
+
+def _total(df: DataFrame, array: str) -> int:
+    """Entries of all arrays, and one for each row."""
+    return df.agg(F.coalesce(F.sum(1 + F.size(array)), F.lit(0))).first()[0]
+
+
+def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, _h1, _h2, hits) for every distinct (doc_id, text) of ``docs`` that has a window of the items.
 
     ``hits`` holds (start, len, item_ids) of each occurrence of a window; start counts words from 0.
-    ``_h1`` and ``_h2`` are hashes of the text. Null text has no words.
+    ``_h1`` and ``_h2`` are hashes of the text.
     """
-    windows = Shelf(docs.sparkSession).put(item_windows(items, window))
-    small = windows.count() <= broadcast_windows
-    # the words sent with the plan come from a table of checked size
-    anchors = [r[0] for r in windows.select("anchor").distinct().collect()] if small else []
-    words = docs.select("doc_id", F.xxhash64("text").alias("_h1"), F.hash("text").alias("_h2"), words_of(F.col("text")).alias("words"))
-    at = F.sequence(F.lit(0), F.size("words") - 1)
-    if small:
-        known = lambda i: F.get("words", i).isin(anchors) if anchors else F.lit(False)
-        at = F.filter(at, known)
-    at = F.when(F.size("words") > 0, at)
-    reach = window - 1
-    context = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("at"),
-            F.get("words", i).alias("word"),
-            F.least(i, F.lit(reach)).alias("before"),
-            F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"),
-        ),
-    )
-    found = words.select("doc_id", "_h1", "_h2", F.size("words").cast("long").alias("n_words"), F.explode_outer(context).alias("c")).select(
-        "doc_id", "_h1", "_h2", "n_words", "c.*"
-    )
-    # where the window begins in the cut-out context, one-based; 0 or less: it would begin before the text
-    begin = F.col("before") - F.col("offset") + 1
-    same = F.when(begin >= 1, F.array_join(F.slice("near", F.greatest(begin, F.lit(1)), F.col("len")), " ") == F.col("gram")).otherwise(False)
-    side = F.broadcast(windows) if small else windows
-    joined = found.join(side, (F.col("word") == F.col("anchor")) & same, "left")
-    hit = F.when(F.col("gram").isNotNull(), F.struct((F.col("at") - F.col("offset")).alias("start"), "len", "item_ids"))
-    return joined.groupBy("doc_id", "_h1", "_h2").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"))
+    shelf = Shelf(docs.sparkSession)
+    windows = shelf.put(item_windows(items, window))
+    sizes = windows.groupBy("len").agg(F.count_distinct("h").alias("n")).collect()  # at most ``window`` rows
+    blocks = max(1, -(-sum(r["n"] for r in sizes) // block_windows))
+    keyed = docs.select("doc_id", "text").withColumns(_text_key())
+    hashed = keyed.select("doc_id", "_h1", "_h2", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
+    found = []
+    for k in range(blocks):
+        wanted = F.broadcast(windows.where(F.pmod("h", F.lit(blocks)) == k).select("h", "len").distinct())
+        for size in sorted(r["len"] for r in sizes):
+            near = hashed.select("doc_id", "_h1", "_h2", F.posexplode(window_hashes(F.col("_w"), size)).alias("start", "h"))
+            found.append(shelf.put(near.join(wanted.where(F.col("len") == size), "h")))
+    if not found:
+        return keyed.limit(0).select("doc_id", "_h1", "_h2", F.array().cast("array<struct<start:int,len:int,item_ids:array<string>>>").alias("hits"))
+    found = reduce(DataFrame.unionByName, found).groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("start", "len", "h")).alias("_near"))
+    found = shelf.put(found)
+    side, same = _same_text(found)
+    near = keyed.join(maybe_broadcast(side, _total(found, "_near"), broadcast_rows), same).select("doc_id", "_h1", "_h2", "_near", words_of(F.col("text")).alias("_w"))
+    gram = lambda x: F.array_join(F.slice("_w", x["start"] + 1, x["len"]), " ")
+    spelt = near.select("doc_id", "_h1", "_h2", F.explode(F.transform("_near", lambda x: F.struct(x["start"].alias("start"), x["h"].alias("h"), gram(x).alias("gram")))).alias("x"))
+    sure = spelt.select("doc_id", "_h1", "_h2", "x.*").join(maybe_broadcast(windows, _total(windows, "item_ids"), broadcast_rows), ["h", "gram"])
+    return shelf.put(sure.groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("start", "len", "item_ids")).alias("hits")))
 
 
 def covered(hits: Column) -> Column:
@@ -99,37 +110,47 @@ def covered(hits: Column) -> Column:
     return total["n"].cast("long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_percent: int = 5) -> DataFrame:
-    """(doc_id, _h1, _h2, n_words, n_hit, n_items, items, hits, contaminated), a row for each distinct (doc_id, text).
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_percent: int = 5, block_windows: int = BLOCK_WINDOWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, hits, contaminated) for every row of ``docs`` (``doc_id``, ``text``).
 
     A word is hit when it stands in an occurrence of a window; a text is contaminated when it has hits
     and they are at least ``least_percent`` of its words. Texts without words, null ones too, are
-    clean; with an empty benchmark all are. Extra columns are not used.
+    clean; with an empty benchmark all are. Repeated rows get a row each. Extra columns are not used.
     """
-    out = find_windows(docs, items, window)
-    out = out.withColumn("n_hit", covered(F.col("hits"))).withColumn(
-        "items", F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda h: h["item_ids"])), lambda i: i.cast("string"))))
-    )
-    return out.withColumn("n_items", F.size("items").cast("long")).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words"))
-    )
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW, least_percent: int = 5) -> DataFrame:
-    """``docs`` without contaminated documents or, with ``remove="spans"``, with the hit words taken out of their texts."""
-    bad = contamination(docs, items, window, least_percent).where("contaminated")
-    keyed = docs.withColumns({"_h1": F.xxhash64("text"), "_h2": F.hash("text")})
-    bad = bad.select(F.col("doc_id").alias("_d"), F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"), "hits")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
-    if remove == "documents":  # what goes grows with the documents: a shuffle at every size
-        return keyed.join(bad.drop("hits").hint("merge"), same, "left_anti").select(*docs.columns)
-    assert remove == "spans"
+    found = find_windows(docs, items, window, block_windows, broadcast_rows)
+    side, same = _same_text(found.withColumn("n_hit", covered(F.col("hits"))))
+    rows = docs.select("doc_id", "text").withColumns(_text_key()).select("doc_id", "_h1", "_h2", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = rows.join(maybe_broadcast(side, _total(found, "hits"), broadcast_rows), same, "left")
+    ids = F.transform(F.flatten(F.transform("hits", lambda h: h["item_ids"])), lambda i: i.cast("string"))
+    items_found = F.coalesce(F.array_sort(F.array_distinct(ids)), F.array().cast("array<string>"))
+    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), items_found.alias("items"), "hits").select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "hits",
+        ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= least_percent * F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW, least_percent: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without contaminated documents or, with ``remove="spans"``, with the hit words taken out of their texts.
+
+    Columns are those of ``docs``. Clean rows stay as they are: nulls, empty texts and repeated rows too.
+    """
+    if remove not in ("documents", "spans"):
+        raise ValueError(f"remove: {remove}")
+    found = find_windows(docs, items, window, broadcast_rows=broadcast_rows)
+    side, same = _same_text(found.withColumn("_n_hit", covered(F.col("hits"))).withColumnRenamed("hits", "_hits"))
+    side, n = (side.drop("_hits"), found.count()) if remove == "documents" else (side, _total(found, "hits"))
+    keyed = docs.withColumns(_text_key()).join(maybe_broadcast(side, n, broadcast_rows), same, "left")
+    n_words = F.size(words_of(F.col("text")))
+    bad = F.when(F.col("_n_hit") > 0, 100 * F.col("_n_hit") >= least_percent * n_words).otherwise(False)
+    if remove == "documents":
+        return keyed.where(~bad).select(*docs.columns)
     # words and the gaps around them; a word goes together with the gap before it
-    parts = keyed.join(bad, same, "left").withColumns(
-        {"_words": F.filter(F.split("text", RAW_GAP, -1), lambda w: w != ""), "_gaps": F.split("text", RAW_WORD, -1)}
+    parts = keyed.withColumns(
+        {"_bad": bad, "_words": F.filter(F.split("text", RAW_GAP, -1), lambda w: w != ""), "_gaps": F.split("text", RAW_WORD, -1)}
     )
-    hit = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
-    parts = parts.withColumn("_hit", F.when(F.col("hits").isNotNull(), hit))
+    hit = F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
+    parts = parts.withColumn("_hit", F.when(F.col("_bad"), hit))
     kept = F.transform("_words", lambda w, i: F.when(F.array_contains("_hit", i), "").otherwise(F.concat(F.get("_gaps", i), w)))
     text = F.concat(F.array_join(kept, ""), F.element_at("_gaps", -1))
     return parts.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)

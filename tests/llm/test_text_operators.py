@@ -102,6 +102,28 @@ def test_near_dedup_without_ids_and_rows(docs, spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_several_texts_with_one_id(spark):
+    rng = random.Random(12)
+    x, y, z = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    # 1 links 2 through x and 3 through y; 5 has a text of 4 and an empty one; 7 holds 6's text beside 8's
+    rows = [(1, x), (1, y), (2, near(x)), (3, near(y)), (4, z), (5, z), (5, ""), (6, "six of one"), (7, "six of one"), (7, "half a dozen"), (8, "half a dozen"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    root = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 9}
+    assert got == Counter((i, root[i], i == root[i]) for i, _ in rows)
+
+
+def test_near_dedup_over_many_blocks(spark, monkeypatch):
+    # small blocks and hot bounds: the grid of blocks and the dealing of hot texts
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    rows = [(100 + k, t, "en", "a") for k, t in enumerate(near_group(1, 70, 12))] + [(300 + k, t, "en", "a") for k, t in enumerate(near_group(2, 40, 30))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)} | {(100 + k, 101 + k) for k in range(40)}
@@ -129,7 +151,7 @@ def brute_contamination(rows, items):
         for k in range(len(w) - n + 1 if w else 0):
             windows[tuple(w[k : k + n])].add(i)
     out = Counter()
-    for i, t in {(r[0], r[1]) for r in rows}:
+    for i, t, *_ in rows:  # repeated rows too
         w, hit, found = pat.findall(ascii_lower(t or "")), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
@@ -153,8 +175,11 @@ def test_decontaminate(spark, tmp_path):
     want = brute_contamination(rows, items)
     assert got == want and sum(x[5] for x in want) > 4
     docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
-    many = decontaminate.contamination(docs, bench.limit(100), 13).count()
-    assert many == decontaminate.find_windows(docs, bench, broadcast_windows=0).count()  # the way for large benchmarks
+    rows_of = lambda out: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.items), r.contaminated) for r in out.collect())
+    plain = rows_of(decontaminate.contamination(docs, bench))
+    # a benchmark in blocks, and shuffled joins, give the same rows
+    assert plain == rows_of(decontaminate.contamination(docs, bench, block_windows=9, broadcast_rows=0))
+    assert Counter((x[0], x[1], x[2], x[5]) for x in want.elements()) == Counter((x[0], x[1], x[2], x[4]) for x in plain.elements())
     bad = {x[0] for x in want if x[5]}
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {r[0] for r in rows} - bad
     cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()}
