@@ -13,31 +13,54 @@ SHINGLE, PERCENT = 5, 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told.
+
+    Null texts and texts without a letter go; repeated rows are judged each; columns stay as they are,
+    whatever their names; an empty table stays empty.
+    """
     return language_id.accepted(docs)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without long lines that five or more documents share, but for one copy."""
-    out = line_dedup.line_dedup(docs)
-    size = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": size}).select(*docs.columns)
+    """Texts without long lines that five or more documents share, but for one copy.
+
+    ``n_chars``, where there is such a column, is counted again for changed texts. Null and empty texts
+    stay as they are, repeated rows are one document, other columns stay, whatever their names.
+    """
+    own = {c: f"_own_{c}" for c in ("kept_text", "n_lines", "n_dropped") if c in docs.columns}
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(own))
+    changed = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    out = out.withColumns(changed).drop("kept_text", "n_lines", "n_dropped")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near-duplicates."""
+    """The least document of each group of near-duplicates.
+
+    Texts without words, null ones too, and rows without an id are in no group and stay; all rows of a
+    document stay or go together; columns stay as they are.
+    """
     groups = near_dedup.near_duplicates(docs, SHINGLE, PERCENT)
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items.
+
+    Texts without words, null ones too, are clean, and with an empty benchmark all are; repeated rows are
+    judged each; columns stay as they are.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the digest of their decoding."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row: token ids, and the digest of their decoding.
+
+    A null text counts as empty; repeated rows are encoded each; other columns are not used.
+    """
     rows = bpe.bpe_encode(docs.select("doc_id", "text"), bpe.default_tokenizer(), decode=True, keep_text=False)
     return rows.select(
         "doc_id",
