@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of test items found in training texts, word for word.
 
-Every window of an item is hashed, and so is every window of a training text, from its words' hashes. A
-broadcast set of the items' hashes picks the windows that may be equal; only those are written out as
-words and compared in full. Large benchmarks are taken in blocks, each a broadcast set of bounded size,
-so no row of a training text is ever shuffled by a window.
+Windows are found by n-grams: whatever stands at a text's word p, a window of ``len`` words that covers
+the n-gram there begins at most ``len`` - n words before it. So every n-gram of the items is hashed into a
+broadcast set, a training text is scanned in steps of ``len`` - n + 1 words, and each window has exactly
+one n-gram at such a step: none is lost. Where an n-gram is in the set, the windows around it are written
+out as words and compared in full. Large benchmarks are taken in blocks, each a broadcast set of bounded
+size, so no row of a training text is ever shuffled by an n-gram.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ WINDOW = 13
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same of a text that is not in lower case, where A-Z are letters, and what a word is there.
 RAW_GAP, RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct window hashes of a broadcast set (16 bytes each); a benchmark with more is taken in blocks.
+#: Distinct n-gram hashes of a broadcast set (16 bytes each); a benchmark with more is taken in blocks.
 BLOCK_WINDOWS = 1_000_000
 #: Hits, of all texts together, that are broadcast (about 50 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -31,24 +33,30 @@ def words_of(text: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """A hash of each run of ``size`` words, by its start; ``words`` are the words' hashes."""
-    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-    return F.when(F.size(words) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+def step_of(size: int) -> int:
+    """Steps of the scan for windows of ``size`` words; the n-grams have ``size`` - step + 1 words."""
+    return (size + 1) // 2
+
+
+def ngram_hashes(words: Column, size: int, step: int) -> Column:
+    """(len, at, h) of the n-grams of a text, from its words' hashes, at words 0, ``step``, 2 * ``step`` and so on."""
+    n = size - step_of(size) + 1
+    starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - n, F.lit(step)))
+    grams = F.transform(starts, lambda i: F.struct(F.lit(size).alias("len"), i.alias("at"), F.xxhash64(F.slice(words, i + 1, n)).alias("h")))
+    return F.coalesce(grams, F.array().cast("array<struct<len:int,at:int,h:bigint>>"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, len, gram, item_ids): every distinct window of the items (``item_id``, ``text``) and its hash.
+    """(h, len, gram, ngrams, item_ids): every distinct window of the items (``item_id``, ``text``), its hash and its n-grams' ones.
 
     Items without words, or without an id, have none; an item of fewer words is one window.
     """
     words = items.where("item_id IS NOT NULL").select(F.col("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1))
     grams = words.select("item_id", F.explode(F.transform(starts, lambda k: F.slice("words", k, window))).alias("w"))
-    distinct = grams.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    return distinct.select(
-        F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("h"), F.size("w").alias("len"), F.array_join("w", " ").alias("gram"), "item_ids"
-    )
+    distinct = grams.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).withColumn("_w", F.transform("w", lambda x: F.xxhash64(x)))
+    ngrams = F.coalesce(*[F.when(F.size("w") == k, F.transform(ngram_hashes(F.col("_w"), k, 1), lambda x: x["h"])) for k in range(1, window + 1)])
+    return distinct.withColumn("gram", F.array_join("w", " ")).select(F.xxhash64("gram").alias("h"), F.size("w").alias("len"), "gram", ngrams.alias("ngrams"), "item_ids")
 
 
 def _text_key() -> dict[str, Column]:
@@ -74,25 +82,34 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_
     """
     shelf = Shelf(docs.sparkSession)
     windows = shelf.put(item_windows(items, window))
-    sizes = windows.groupBy("len").agg(F.count_distinct("h").alias("n")).collect()  # at most ``window`` rows
-    blocks = max(1, -(-sum(r["n"] for r in sizes) // block_windows))
+    ngrams = shelf.put(windows.select("len", F.explode("ngrams").alias("h")).distinct())
+    sizes = sorted(r["len"] for r in ngrams.select("len").distinct().collect())  # at most ``window``
     keyed = docs.select("doc_id", "text").withColumns(_text_key())
+    if not sizes:
+        return keyed.limit(0).select("doc_id", "_h1", "_h2", F.array().cast("array<struct<start:int,len:int,item_ids:array<string>>>").alias("hits"))
     hashed = keyed.select("doc_id", "_h1", "_h2", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("_w"))
-    found = []
+    scanned = hashed.select("doc_id", "_h1", "_h2", F.inline(F.concat(*[ngram_hashes(F.col("_w"), k, step_of(k)) for k in sizes])))
+    blocks = -(-ngrams.count() // block_windows)
+    near = []
     for k in range(blocks):
-        wanted = F.broadcast(windows.where(F.pmod("h", F.lit(blocks)) == k).select("h", "len").distinct())
-        for size in sorted(r["len"] for r in sizes):
-            near = hashed.select("doc_id", "_h1", "_h2", F.posexplode(window_hashes(F.col("_w"), size)).alias("start", "h"))
-            found.append(shelf.put(near.join(wanted.where(F.col("len") == size), "h")))
-    if not found:
-        return keyed.limit(0).select("doc_id", "_h1", "_h2", F.array().cast("array<struct<start:int,len:int,item_ids:array<string>>>").alias("hits"))
-    found = reduce(DataFrame.unionByName, found).groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("start", "len", "h")).alias("_near"))
-    found = shelf.put(found)
-    side, same = _same_text(found)
-    near = keyed.join(maybe_broadcast(side, _total(found, "_near"), broadcast_rows), same).select("doc_id", "_h1", "_h2", "_near", words_of(F.col("text")).alias("_w"))
-    gram = lambda x: F.array_join(F.slice("_w", x["start"] + 1, x["len"]), " ")
-    spelt = near.select("doc_id", "_h1", "_h2", F.explode(F.transform("_near", lambda x: F.struct(x["start"].alias("start"), x["h"].alias("h"), gram(x).alias("gram")))).alias("x"))
-    sure = spelt.select("doc_id", "_h1", "_h2", "x.*").join(maybe_broadcast(windows, _total(windows, "item_ids"), broadcast_rows), ["h", "gram"])
+        block = F.broadcast(ngrams.where(F.pmod("h", F.lit(blocks)) == k))
+        near.append(shelf.put(scanned.join(block, ["h", "len"]).select("doc_id", "_h1", "_h2", "len", "at")))
+    near = reduce(DataFrame.unionByName, near).groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("at", "len")).alias("_near"))
+    near = shelf.put(near)
+    side, same = _same_text(near)
+    texts = keyed.join(maybe_broadcast(side, _total(near, "_near"), broadcast_rows), same)
+    texts = texts.select("doc_id", "_h1", "_h2", "_near", words_of(F.col("text")).alias("_w"))
+    steps = F.create_map(*[F.lit(x) for k in sizes for x in (k, step_of(k))])
+
+    def around(x: Column) -> Column:
+        """The windows that may cover the n-gram found at a step, as words."""
+        first, last = F.greatest(F.lit(0), x["at"] - F.element_at(steps, x["len"]) + 1), F.least(x["at"], F.size("_w") - x["len"])
+        gram = lambda i: F.struct(i.alias("start"), x["len"].alias("len"), F.array_join(F.slice("_w", i + 1, x["len"]), " ").alias("gram"))
+        return F.when(first <= last, F.transform(F.sequence(first, last), gram)).otherwise(F.array().cast("array<struct<start:int,len:int,gram:string>>"))
+
+    spelt = texts.select("doc_id", "_h1", "_h2", F.inline(F.flatten(F.transform("_near", around)))).withColumn("h", F.xxhash64("gram"))
+    known = windows.select("h", "len", "gram", "item_ids")
+    sure = spelt.join(maybe_broadcast(known, _total(known, "item_ids"), broadcast_rows), ["h", "len", "gram"])
     return shelf.put(sure.groupBy("doc_id", "_h1", "_h2").agg(F.collect_set(F.struct("start", "len", "item_ids")).alias("hits")))
 
 
