@@ -17,11 +17,11 @@ from .common import ship
 DIM, NGRAM, SEED = 1024, 3, 20_011
 #: Texts a language is learned from, at most (about: chosen by a hash of the id).
 SAMPLE_PER_LANG = 1500
-#: The most frequent letters of the sample get symbols of their own; other letters share one.
-ALPHABET = 125
 UND = "und"
-_BITS = 7
+#: A code point has 21 bits, so an n-gram of three is one whole number.
+_BITS = 21
 _CACHE_ROWS = 24_000
+_CACHE_LETTERS = 20_000
 _LETTERS: np.ndarray | None = None
 
 
@@ -37,37 +37,41 @@ def _points(text: str) -> np.ndarray:
 
 
 class Space:
-    """The letter vectors of an alphabet, and the vectors of n-grams made from them when first met."""
-
-    def __init__(self, alphabet: list[int], dim: int = DIM, seed: int = SEED):
-        self.dim = dim
-        self.symbol = np.zeros(0x110000, dtype=np.uint8)  # 0: not a letter, 1: some other letter
-        self.symbol[_is_letter()] = 1
-        for k, point in enumerate(sorted(alphabet)):
-            self.symbol[point] = k + 2
-        names = [0, 1, *sorted(alphabet)]
-        self.vectors = np.stack([np.random.default_rng([seed, n]).integers(0, 2, dim) * 2 - 1 for n in names]).astype(np.int8)
+    """Letter vectors, seeded by code point, and the vectors of n-grams made from them, both when first met."""
+
+    def __init__(self, dim: int = DIM, seed: int = SEED):
+        self.dim, self.seed = dim, seed
         self._clear()
 
     def _clear(self) -> None:
-        self.row_of = np.full(1 << (_BITS * NGRAM), -1, dtype=np.int32)
+        self.letters: dict[int, np.ndarray] = {}
+        self.rows: dict[int, int] = {}
         self.grams = np.zeros((1024, self.dim), dtype=np.float32)
-        self.known = 0
-
-    def _learn(self, codes: np.ndarray) -> None:
-        while self.known + len(codes) > len(self.grams):
-            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-        bound = np.ones((len(codes), self.dim), dtype=np.int8)
-        for back in range(NGRAM):
-            letters = (codes >> (_BITS * back)) & ((1 << _BITS) - 1)
-            bound *= np.roll(self.vectors, back, axis=1)[letters]
-        self.grams[self.known : self.known + len(codes)] = bound
-        self.row_of[codes] = np.arange(self.known, self.known + len(codes))
-        self.known += len(codes)
+
+    def letter(self, point: int) -> np.ndarray:
+        """The vector of a code point; 0 is the blank. The same in every process."""
+        got = self.letters.get(point)
+        if got is None:
+            if len(self.letters) >= _CACHE_LETTERS:
+                self.letters.clear()
+            got = self.letters[point] = (np.random.default_rng([self.seed, point]).integers(0, 2, self.dim) * 2 - 1).astype(np.int8)
+        return got
+
+    def _learn(self, codes: list[int]) -> None:
+        known = len(self.rows)
+        if known + len(codes) > len(self.grams):
+            self.grams = np.concatenate([self.grams, np.zeros((max(len(self.grams), known + len(codes) - len(self.grams)), self.dim), np.float32)])
+        for k, code in enumerate(codes, known):
+            bound = np.ones(self.dim, dtype=np.int8)
+            for back in range(NGRAM):
+                bound = bound * np.roll(self.letter((code >> (_BITS * back)) & ((1 << _BITS) - 1)), back)
+            self.grams[k] = bound
+            self.rows[code] = k
 
     def codes(self, text: str) -> np.ndarray:
         """n-gram codes; runs of other characters are one blank, also at both ends."""
-        s = self.symbol[_points(text)]
+        p = _points(text)
+        s = np.where(_is_letter()[p], p, 0)
         if not s.any():
             return np.zeros(0, dtype=np.int64)
         s = s[(s > 0) | np.concatenate([[True], s[:-1] > 0])]
@@ -81,57 +85,51 @@ class Space:
         """Yields (start, unit vectors, whether there are letters) by block of texts."""
         for start in range(0, len(texts), block):
             codes = [self.codes(t) for t in texts[start : start + block]]
-            if self.known > _CACHE_ROWS:
-                self._clear()
-            every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-            new = np.unique(every[self.row_of[every] < 0])
-            if len(new):
-                self._learn(new)
-            counts = np.zeros((len(codes), self.known), dtype=np.float32)
-            for k, c in enumerate(codes):
-                if len(c):
-                    counts[k] = np.bincount(self.row_of[c], minlength=self.known)
-            found = counts @ self.grams[: self.known]
+            every, at = np.unique(np.concatenate(codes), return_inverse=True)
+            found = np.zeros((len(codes), self.dim), np.float32)
+            ends = np.cumsum([len(c) for c in codes])
+            # a part of the block's distinct n-grams at a time, however many it has
+            for first in range(0, len(every), _CACHE_ROWS):
+                some = every[first : first + _CACHE_ROWS].tolist()
+                if len(self.rows) > _CACHE_ROWS:
+                    self._clear()
+                self._learn([c for c in some if c not in self.rows])
+                rows = np.fromiter((self.rows[c] for c in some), np.int64, len(some))
+                counts = np.zeros((len(codes), len(some)), dtype=np.float32)
+                for k, end in enumerate(ends):
+                    own = at[end - len(codes[k]) : end] - first
+                    counts[k] = np.bincount(own[(own >= 0) & (own < len(some))], minlength=len(some))
+                found += counts @ self.grams[rows]
             norm = np.linalg.norm(found, axis=1, keepdims=True)
             yield start, found / np.where(norm > 0, norm, 1), np.array([len(c) > 0 for c in codes], dtype=bool)
 
 
-def _letter_counts(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        total: dict[int, int] = {}
-        for t in batch.column(0):
-            p = _points(t.as_py() or "")
-            p, n = np.unique(p[_is_letter()[p]], return_counts=True)
-            for a, b in zip(p.tolist(), n.tolist(), strict=True):
-                total[a] = total.get(a, 0) + b
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["point", "n"])
+#: Unit vectors are summed as whole numbers of this size, so that a sum does not depend on its order.
+_UNIT = 1e9
 
 
-def _bundler(alphabet: list[int], dim: int):
+def _bundler(dim: int):
     def run(batches):
         import pyarrow as pa
 
-        space, sums = Space(alphabet, dim), {}
+        space, sums = Space(dim), {}
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(0)]
             langs = batch.column(1).to_pylist()
             for start, unit, _ in space.vectors_of(texts):
                 for k, v in enumerate(unit):
-                    sums[langs[start + k]] = sums.get(langs[start + k], 0) + v.astype(np.float64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"]
-        )
+                    sums[langs[start + k]] = sums.get(langs[start + k], 0) + np.round(v.astype(np.float64) * _UNIT).astype(np.int64)
+        for lang, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(range(dim), pa.int32()), pa.array(v, pa.int64())], names=["lang", "k", "v"])
 
     return run
 
 
-def _labeller(alphabet: list[int], dim: int, langs: list[str], prototypes: np.ndarray, names: list[str]):
+def _labeller(dim: int, langs: list[str], prototypes: np.ndarray, names: list[str]):
     def run(batches):
         import pyarrow as pa
 
-        space = Space(alphabet, dim)
+        space = Space(dim)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(batch.schema.names.index("text"))]
             lang, score = [UND] * len(texts), [0.0] * len(texts)
@@ -154,31 +152,26 @@ def held_out():
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) & F.col("doc_id").isNotNull()
 
 
-def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM) -> tuple[list[int], list[str], np.ndarray]:
-    """Alphabet, languages in order, and their unit prototypes.
+def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and their unit prototypes.
 
     Learns from about ``per_lang`` labelled texts of a language at most, chosen by hash of the id among
-    those outside the held-out fifth; what comes to the driver is one vector per language and partition.
+    those outside the held-out fifth. What comes to the driver is one vector a language.
     """
     ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     share = {r["lang"]: per_lang / r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
-        return [], [], np.zeros((0, dim))
+        return [], np.zeros((0, dim))
     cut = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, float(v))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     sample = labelled.where(draw < cut).select("text", "lang")
-    letters = (
-        sample.select("text").mapInArrow(_letter_counts, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "point").limit(ALPHABET).collect()
-    )
-    alphabet = [r["point"] for r in letters]
     sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(_bundler(alphabet, dim), "lang string, v array<double>").collect():
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["v"])
+    for r in sample.mapInArrow(_bundler(dim), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect():
+        sums.setdefault(r["lang"], np.zeros(dim))[r["k"]] = r["v"] / _UNIT
     langs = sorted(k for k, v in sums.items() if np.linalg.norm(v) > 0)
     prototypes = np.stack([sums[k] / np.linalg.norm(sums[k]) for k in langs]) if langs else np.zeros((0, dim))
-    return alphabet, langs, np.round(prototypes, 9)
+    return langs, np.round(prototypes, 9)
 
 
 def identify(docs: DataFrame, model=None, per_lang: int = SAMPLE_PER_LANG, dim: int = DIM) -> DataFrame:
@@ -189,10 +182,10 @@ def identify(docs: DataFrame, model=None, per_lang: int = SAMPLE_PER_LANG, dim:
     other columns pass through, and those named like the added ones are replaced.
     """
     ship(docs.sparkSession)
-    alphabet, langs, prototypes = model or train(docs, per_lang, dim)
+    langs, prototypes = model or train(docs, per_lang, dim)
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_labeller(alphabet, dim, langs, prototypes, docs.columns), schema)
+    return docs.mapInArrow(_labeller(dim, langs, prototypes, docs.columns), schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def brute_profile(space, text):
     """Bind and bundle letter by letter."""
     symbols, last = [], None
     for c in text.lower():
-        s = int(space.symbol[ord(c)])
+        s = ord(c) if c.isalpha() else 0
         if s or last != 0:
             symbols.append(s)
         last = s
@@ -43,17 +43,30 @@ def brute_profile(space, text):
     symbols = ([0] if symbols[0] else []) + symbols + ([0] if symbols[-1] else [])
     total = np.zeros(space.dim)
     for k in range(len(symbols) - 2):
-        a, b, c = (space.vectors[x].astype(float) for x in symbols[k : k + 3])
+        a, b, c = (space.letter(x).astype(float) for x in symbols[k : k + 3])
         total += np.roll(a, 2) * np.roll(b, 1) * c
     return total / max(np.linalg.norm(total), 1e-12)
 
 
-def test_profiles_equal_letterwise_binding():
-    space = language_id.Space([ord(c) for c in "abcdefghié"], dim=256)
+def test_profiles_equal_letterwise_binding(monkeypatch):
     texts = ["abc abd", "", "  ", "Zebra! a1b", "é" * 30, "a", "日本 bad", "?!", "dead beef " * 50]
-    got = np.concatenate([v for _, v, _ in space.vectors_of(texts, block=4)])
-    for k, t in enumerate(texts):
-        assert np.allclose(got[k], brute_profile(space, t), atol=1e-5), t
+    for rows in (language_id._CACHE_ROWS, 3):  # a small cache is emptied and filled again
+        monkeypatch.setattr(language_id, "_CACHE_ROWS", rows)
+        space = language_id.Space(dim=256)
+        got = np.concatenate([v for _, v, _ in space.vectors_of(texts, block=4)])
+        for k, t in enumerate(texts):
+            assert np.allclose(got[k], brute_profile(space, t), atol=1e-5), t
+
+
+def test_languages_of_many_letters(spark):
+    """Chinese, Japanese and Korean differ by letters that are hundreds beyond any common alphabet."""
+    rng = random.Random(3)
+    alphabets = {"zh": range(0x4E00, 0x4E00 + 600), "ja": [*range(0x3041, 0x3090), *range(0x5E00, 0x5E00 + 200)], "ko": range(0xAC00, 0xAC00 + 500), "en": range(97, 123)}
+    words = {lang: ["".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 3))) for _ in range(150)] for lang, points in alphabets.items()}
+    rows = [(k, "".join(rng.choice(words[lang]) for _ in range(200)), lang) for k, lang in enumerate(sorted(alphabets) * 40)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 15 and all(r.lang_pred == r.lang for r in held)
 
 
 def test_language_held_out(spark, tmp_path):
