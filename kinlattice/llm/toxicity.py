@@ -13,6 +13,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,63 +29,66 @@ LOOKALIKES = {
 SEPARATORS = set(".-_*~'’·•/\\+|")
 #: Costs in nats of the channel's steps: a sign for a letter, a masked vowel, a repeated letter, a separator.
 SIGN, MASK, REPEAT, SEPARATOR = 0.7, 1.5, 0.4, 0.4
-#: Letters the trigram model tells apart; all others share a symbol. It bounds the model to (62 + 1)**3 cells.
-ALPHABET = 62
-OTHER = "�"
+#: Every letter is told apart. Counts of all texts go to so many slots a table by the hash of their letters,
+#: which bounds the model (five tables, 8 bytes a slot) whatever the alphabets are.
+SLOTS = 1 << 20
 #: Documents the classifier is fitted on, at most (about).
 SAMPLE = 16_000
-#: A feature needs this log-likelihood ratio, and the strongest FEATURES of them are kept.
-LEAST_G2, FEATURES = 18.0, 4000
-LEAST_ODDS = 1.0
+#: A feature needs this log-likelihood ratio (a chance of one in a thousand) and this lower bound of its log odds.
+LEAST_G2, LEAST_ODDS = 10.83, 1.0
+#: Parts of the drawn rows: each is scored by the features of the others when the curve is fitted.
+FOLDS = 3
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 _TRIM_L = "\"'([{<«“‘¿*#~_-.,;:"
 _TRIM_R = "\"')]}>»”’?*#~_-.,;:!&%"
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡µ*._~'’·•/\\-]+[^\W\d_]|[0-9@$|+€£¡][^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s{1,3}\S){2,}(?!\S)")
 
 
 class CharModel:
-    """Interpolated character trigrams of words, with word ends as ``^`` and ``$``."""
-
-    def __init__(self, counts: dict[str, float], alphabet: str):
-        self.letters = set(alphabet)
-        tri, bi, uni = Counter(), Counter(), Counter()
-        for gram, n in counts.items():
-            tri[gram] += n
-            bi[gram[1:]] += n
-            uni[gram[2]] += n
-        two, one = Counter(), Counter()
-        kinds2, kinds1 = Counter(), Counter()
-        for gram, n in tri.items():
-            two[gram[:2]] += n
-            kinds2[gram[:2]] += 1
-        for gram, n in bi.items():
-            one[gram[0]] += n
-            kinds1[gram[0]] += 1
-        total = sum(uni.values()) or 1.0
-        self.tri, self.bi, self.uni = tri, bi, uni
-        self.two, self.one, self.kinds2, self.kinds1, self.total = two, one, kinds2, kinds1, total
-        self.floor = 1.0 / (total + 1000.0)
+    """Interpolated character trigrams of words, with word ends as ``^`` and ``$``.
+
+    ``tables``: for "abc", "bc", "c" (counts of a letter after two, one and no letters) and "ab", "b" (their
+    contexts): slots, summed counts and, for contexts, summed numbers of different letters that follow.
+    """
+
+    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.tables = tables
+        self.total = float(tables["c"][1].sum()) if "c" in tables else 0.0
+        self.total = self.total or 1.0
+        self.floor = 1.0 / (self.total + 1000.0)
         self._memo: dict[str, float] = {}
+        self._dense: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "_memo": {}, "_dense": {}}
+
+    def _seen(self, table: str, key: str) -> tuple[float, float]:
+        if table not in self._dense:
+            n, kinds = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
+            if table in self.tables:
+                slots, counts, follow = self.tables[table]
+                n[slots], kinds[slots] = counts, follow
+            self._dense[table] = n, kinds
+        n, kinds = self._dense[table]
+        slot = xxhash.xxh64_intdigest(key.encode(errors="replace"), seed=42) % SLOTS
+        return float(n[slot]), float(kinds[slot])
 
     def log(self, gram: str) -> float:
         """Log probability of the third letter after the first two (Witten-Bell smoothing)."""
         got = self._memo.get(gram)
         if got is None:
-            p = 0.999 * self.uni.get(gram[2], 0.0) / self.total + 0.001 * self.floor
-            n, k = self.one.get(gram[1], 0.0), self.kinds1.get(gram[1], 0)
-            p = (self.bi.get(gram[1:], 0.0) + k * p) / (n + k) if n else p
-            n, k = self.two.get(gram[:2], 0.0), self.kinds2.get(gram[:2], 0)
-            p = (self.tri.get(gram, 0.0) + k * p) / (n + k) if n else p
+            p = 0.999 * self._seen("c", gram[2])[0] / self.total + 0.001 * self.floor
+            for table, here in (("b", gram[1:]), ("ab", gram)):
+                n, k = self._seen(table, here[:-1])
+                seen = self._seen("bc" if table == "b" else "abc", here)[0]
+                p = (min(seen, n) + k * p) / (n + k) if n else p
             got = self._memo[gram] = math.log(p)
             if len(self._memo) > 400_000:
                 self._memo.clear()
         return got
 
-    def symbol(self, c: str) -> str:
-        return c if c in self.letters or c in "^$" else OTHER
-
 
 def decode(model: CharModel, seen: str) -> tuple[str, float]:
     """The likeliest hidden word behind the characters, and its cost (negative log probability)."""
@@ -107,9 +111,8 @@ def decode(model: CharModel, seen: str) -> tuple[str, float]:
                 if old is None or cost + skip < old[0]:
                     new[state] = (cost + skip, back)
             for letter, price in options:
-                known = model.symbol(letter)
-                total = cost + price - model.log(state + known)
-                key = state[1] + known
+                total = cost + price - model.log(state + letter)
+                key = state[1] + letter
                 old = new.get(key)
                 if old is None or total < old[0]:
                     new[key] = (total, (letter, back))
@@ -141,11 +144,11 @@ class Restorer:
     def spaced(self, text: str):
         """Words written as single characters with blanks between, where one word is likelier than many."""
         for m in _SPACED.finditer(text):
-            seen = m.group().replace(" ", "")
+            seen = "".join(m.group().split())
             if sum(c.isalpha() for c in seen) < 2:
                 continue
             word, cost = decode(self.model, seen)
-            apart = -sum(self.model.log("^^" + self.model.symbol(c)) + self.model.log("^" + self.model.symbol(c) + "$") for c in seen)
+            apart = -sum(self.model.log("^^" + c) + self.model.log("^" + c + "$") for c in seen)
             if cost < apart:
                 yield word
 
@@ -177,51 +180,69 @@ def features(words: set[str]) -> set[str]:
 def char_model(docs: DataFrame) -> CharModel:
     """Trigrams of the words of all texts; a distinct word weighs the root of its count.
 
-    Distinct words are counted with a shuffle; what reaches the driver is bounded by the alphabet.
+    Everything is counted by shuffles with partial sums; what reaches the driver is at most SLOTS rows a
+    table. Weights are whole thousandths, so that sums do not depend on their order.
     """
-    token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    words = docs.select(token.alias("w")).where("w <> ''").groupBy("w").agg(F.sqrt(F.count(F.lit(1))).alias("n"))
     from .common import Shelf
 
-    words = Shelf(docs.sparkSession).put(words)
-    letters = words.select(F.explode(F.split("w", "")).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
-    alphabet = "".join(sorted(r["c"] for r in letters.orderBy(F.desc("n"), "c").limit(ALPHABET - 1).collect() if r["c"]))
-    if not alphabet:
-        return CharModel({}, "")
-    known = F.concat(F.lit("^^"), F.regexp_replace("w", f"[^{alphabet}]", OTHER), F.lit("$"))
+    shelf = Shelf(docs.sparkSession)
+    token = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
+    words = docs.select(token.alias("w")).where("w <> ''").groupBy("w").agg(F.round(F.sqrt(F.count(F.lit(1))) * 1000).cast("long").alias("n"))
+    padded = words.select(F.concat(F.lit("^^"), "w", F.lit("$")).alias("k"), "n")
     at = F.sequence(F.lit(1), F.char_length("k") - 2)
-    grams = words.select(known.alias("k"), "n").select(F.explode(F.transform(at, lambda i: F.substr("k", i, F.lit(3)))).alias("g"), "n")
-    return CharModel({r["g"]: r["n"] for r in grams.groupBy("g").agg(F.round(F.sum("n"), 6).alias("n")).collect()}, alphabet)
+    grams = padded.select(F.explode(F.transform(at, lambda i: F.substr("k", i, F.lit(3)))).alias("g"), "n")
+    n, kinds = F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")
+    three = shelf.put(grams.groupBy("g").agg(n))
+    two = shelf.put(three.groupBy(F.substr("g", F.lit(2), F.lit(2)).alias("g")).agg(n))
+    one = two.groupBy(F.substr("g", F.lit(2), F.lit(1)).alias("g")).agg(n)
+    none = F.lit(0).cast("long").alias("kinds")
+    tables = {
+        "abc": three.select("g", "n", none), "bc": two.select("g", "n", none), "c": one.select("g", "n", none),
+        "ab": three.groupBy(F.left("g", F.lit(2)).alias("g")).agg(n, kinds), "b": two.groupBy(F.left("g", F.lit(1)).alias("g")).agg(n, kinds),
+    }
+    slot = F.pmod(F.xxhash64("g"), F.lit(SLOTS)).cast("int").alias("slot")
+    found = {}
+    for name, df in tables.items():
+        rows = df.groupBy(slot).agg(n, F.sum("kinds").alias("kinds")).orderBy("slot").toPandas()
+        found[name] = rows["slot"].to_numpy(np.int32), (rows["n"] / 1000).to_numpy(np.float32), rows["kinds"].to_numpy(np.float32)
+    return CharModel(found)
 
 
 def _sketcher(batches):
-    """One minimum of the three-word shingles: equal for copies and, mostly, near copies."""
+    """The two least of the three-word shingles' hashes, as one number: equal for copies and, mostly, near copies.
+
+    Other texts share both with a probability of about the square of their similarity.
+    """
     import pyarrow as pa
 
     for batch in batches:
         least = []
         for t in batch.column(1):
             items = shingle_set(word_hashes(t.as_py() or ""), 3)
-            least.append(int(items[:1].astype(np.int64)[0]) if len(items) else 0)
+            least.append(xxhash.xxh64_intdigest(items[:2].tobytes()) - (1 << 63))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "toxic", "sketch"])
 
 
 def _counter(model: CharModel):
+    """(f, part, t, c): of the toxic and clean texts of each part, those that have a feature."""
+
     def run(batches):
         import pyarrow as pa
 
         restorer = Restorer(model)
-        toxic, clean = Counter(), Counter()
+        seen: dict[int, tuple[Counter, Counter]] = {}
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, label, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                clean, toxic = seen.setdefault(part, (Counter(), Counter()))
                 (toxic if label else clean).update(features(restorer.words(text.as_py() or "")))
-        names = list(toxic.keys() | clean.keys())
-        for k in range(0, len(names), 50_000):
-            part = names[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), pa.array([toxic[x] for x in part], pa.int64()), pa.array([clean[x] for x in part], pa.int64())],
-                names=["f", "t", "c"],
-            )
+        for part, (clean, toxic) in seen.items():
+            names = list(toxic.keys() | clean.keys())
+            for k in range(0, len(names), 50_000):
+                some = names[k : k + 50_000]
+                columns = [pa.array(some, pa.string()), pa.array([part] * len(some), pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([toxic[x] for x in some], pa.int64()), pa.array([clean[x] for x in some], pa.int64())], names=["f", "part", "t", "c"]
+                )
 
     return run
 
@@ -243,27 +264,31 @@ class Classifier:
         return self.memo[w]
 
     def evidence(self, words: set[str]) -> float:
-        best: dict[str, float] = {}
-        for found in map(self.word, words):
-            if found is not None:
-                best[found[0]] = max(best.get(found[0], 0.0), found[1])  # one vote a word beginning
-        return math.log1p(sum(best.values()))
+        """Words of one beginning add up slowly, as they may be forms of one word; long texts need more of them."""
+        found: dict[str, list[float]] = {}
+        for got in map(self.word, words):
+            if got is not None:
+                found.setdefault(got[0], []).append(got[1])
+        total = sum(max(v) * (1 + math.log(len(v))) for v in found.values())
+        return math.log1p(total / math.log(2 + len(words)))
 
     def score(self, words: set[str]) -> float:
         a, b = self.curve
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, a + b * self.evidence(words)))))
 
 
-def _scorer(model: CharModel, classifier: Classifier, names: list[str], column: str, raw: bool):
+def _scorer(model: CharModel, judges: list, names: list[str], column: str, part: int | None = None):
+    """Adds ``column``: what the judge says of the restored words; ``part``, if any, is the column that names the judge."""
+
     def run(batches):
         import pyarrow as pa
 
         restorer = Restorer(model)
-        judge = classifier.evidence if raw else classifier.score
         for batch in batches:
-            scores = [judge(restorer.words(t.as_py() or "")) for t in batch.column(batch.schema.names.index("text"))]
-            keep = [batch.column(batch.schema.names.index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(scores, pa.float64())], names=[*names, column])
+            at = batch.schema.names.index
+            which = batch.column(part).to_pylist() if part is not None else [0] * batch.num_rows
+            scores = [judges[k](restorer.words(t.as_py() or "")) for t, k in zip(batch.column(at("text")), which, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(n)) for n in names), pa.array(scores, pa.float64())], names=[*names, column])
 
     return run
 
@@ -272,13 +297,14 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _g2(t: np.ndarray, c: np.ndarray, T_: float, C: float) -> np.ndarray:
-    """Log-likelihood ratio of a feature's 2 x 2 table."""
-    total, out = T_ + C, 0.0
-    for seen, row, col in ((t, t + c, T_), (c, t + c, C), (T_ - t, total - t - c, T_), (C - c, total - t - c, C)):
-        expected = np.maximum(row * col / total, 1e-12)
-        out = out + 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / expected), 0.0)
-    return out
+def _g2(t, c, tox: float, clean: float):
+    """Log-likelihood ratio of a feature's 2 x 2 table: ``t`` of the toxic and ``c`` of the clean texts have it; 0 without one of the kinds."""
+    if not tox or not clean:
+        return F.lit(0.0)
+    total, having = tox + clean, t + c
+    part = lambda seen, row, col: F.when(seen > 0, seen * F.log(seen * total / (row * col))).otherwise(0.0)
+    others = total - having
+    return 2 * (part(t, having, tox) + part(c, having, clean) + part(tox - t, others, tox) + part(clean - c, others, clean))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -314,30 +340,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Cha
     sketched = Shelf(docs.sparkSession).put(sampled.mapInArrow(_sketcher, "doc_id long, text string, toxic int, sketch long"))
     one = sketched.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
     rows = Shelf(docs.sparkSession).put(sketched.join(one, ["sketch", "toxic", "doc_id"], "left_semi"))
-    half = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("h")).cast("binary")) % 3 == 0
-    # features from two thirds, the curve from the rest
-    first = rows.where(~half)
-    sizes = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tox, clean = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    part = (F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("h")).cast("binary")) % FOLDS).cast("int")
+    rows = rows.select("text", "toxic", part.alias("part"))
+    sizes = {(r["part"], r["toxic"]): r["n"] for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = lambda label, without: float(sum(n for (k, y), n in sizes.items() if y == label and k != without))
+    tox, clean = size(1, None), size(0, None)
     prior = (tox + 0.5) / (tox + clean + 1.0)
     if not tox or not clean:
         return model, Classifier({}, (math.log(prior / (1 - prior)), 0.0))
-    counts = first.select("text", "toxic").mapInArrow(_counter(model), "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # features of the toxic side only; those seen once cannot reach the bound
-    found = counts.where((F.col("t") >= 2) & (F.col("t") * clean > F.col("c") * tox)).select("f", "t", "c")
-    g2 = F.lit(2.0) * F.col("t") * F.log(F.col("t") * (tox + clean) / ((F.col("t") + F.col("c")) * tox))
-    found = found.orderBy(F.desc(g2), "f").limit(FEATURES).toPandas()
-    t, c = found["t"].to_numpy(float), found["c"].to_numpy(float)
-    strong = _g2(t, c, tox, clean) >= LEAST_G2
-    # a lower bound of the log odds, so that rare features weigh little
-    odds = np.log((t + 0.5) / (tox + 1)) - np.log((c + 0.5) / (clean + 1)) - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    weights = {f: round(float(w), 9) for f, w in zip(found["f"][strong], odds[strong], strict=True) if w >= LEAST_ODDS}
-    classifier = Classifier(weights, (0.0, 1.0))
-    scored = rows.where(half).select("text", "toxic").mapInArrow(_scorer(model, classifier, ["toxic"], "x", True), "toxic int, x double").toPandas()
-    if not len(scored):
-        return model, Classifier(weights, (math.log(prior / (1 - prior)), 1.0))
-    scored = scored.sort_values(["x", "toxic"])
-    return model, Classifier(weights, _fit_curve(scored["x"].to_numpy(), scored["toxic"].to_numpy(float)))
+    counts = rows.mapInArrow(_counter(model), "f string, part int, t long, c long")
+    in_part = lambda column, k: F.sum(F.when(F.col("part") == k, F.col(column)).otherwise(0)).alias(f"{column}{k}")
+    counts = counts.groupBy("f").agg(*(in_part(c, k) for c in "tc" for k in range(FOLDS)))
+    # the features of all rows, and of all but a part; their number is bounded by the drawn texts
+    ways = [(None, tox, clean), *((k, size(1, k), size(0, k)) for k in range(FOLDS))]
+    seen = lambda column, without: sum(F.col(f"{column}{k}") for k in range(FOLDS) if k != without).cast("double")
+    g2 = [_g2(seen("t", k), seen("c", k), a, b).alias(f"g{i}") for i, (k, a, b) in enumerate(ways)]
+    found = counts.select("*", *g2).where(" OR ".join(f"g{i} >= {LEAST_G2}" for i in range(len(ways)))).toPandas()
+    models = []
+    for i, (k, a, b) in enumerate(ways):
+        t, c = (sum(found[f"{column}{j}"].to_numpy(float) for j in range(FOLDS) if j != k) for column in "tc")
+        # a lower bound of the log odds, so that rare features weigh little
+        odds = np.log((t + 0.5) / (a + 1)) - np.log((c + 0.5) / (b + 1)) - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        good = (t >= 2) & (odds >= LEAST_ODDS) & (found[f"g{i}"].to_numpy(float) >= LEAST_G2)
+        models.append({f: round(float(w), 9) for f, w in zip(found["f"][good], odds[good], strict=True)})
+    judges = [Classifier(m, (0.0, 1.0)).evidence for m in models[1:]]
+    scored = rows.mapInArrow(_scorer(model, judges, ["toxic"], "x", 2), "toxic int, x double").toPandas().sort_values(["x", "toxic"])
+    return model, Classifier(models[0], _fit_curve(scored["x"].to_numpy(), scored["toxic"].to_numpy(float)))
 
 
 def toxicity(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataFrame:
@@ -349,7 +377,7 @@ def toxicity(docs: DataFrame, model: CharModel, classifier: Classifier) -> DataF
     ship(docs.sparkSession)
     docs = docs.drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_scorer(model, classifier, docs.columns, "score", False), schema)
+    return docs.mapInArrow(_scorer(model, [classifier.score], docs.columns, "score"), schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -103,7 +103,7 @@ def brute_decode(model, seen):
         readings = [(w + x, p + q) for w, p in readings for x, q in options] + ([(w, p + skip) for w, p in readings] if skip is not None else [])
 
     def cost(word, paid):
-        s = "^^" + "".join(model.symbol(c) for c in word) + "$"
+        s = "^^" + word + "$"
         return paid - sum(model.log(s[k : k + 3]) for k in range(len(s) - 2))
 
     return min(cost(w, p) for w, p in readings)
@@ -116,10 +116,21 @@ def test_viterbi_is_the_cheapest_reading(spark):
         assert math.isclose(toxicity.decode(model, seen)[1], brute_decode(model, seen), abs_tol=1e-9), seen
 
 
+def test_char_model_counts_all_letters(spark):
+    texts = ["abc abd 日本語 日本人", "abc", None, ""]
+    model = toxicity.char_model(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    weights = {"abc": round(math.sqrt(2) * 1000) / 1000, "abd": 1.0, "日本語": 1.0, "日本人": 1.0}
+    assert math.isclose(model._seen("abc", "^日本")[0], 2.0) and math.isclose(model._seen("abc", "日本語")[0], 1.0)
+    assert math.isclose(model._seen("ab", "ab")[0], sum(weights[w] for w in ("abc", "abd")), rel_tol=1e-6) and model._seen("ab", "日本")[1] == 2
+    # probabilities of what may follow a context add up to one, but for what was never seen
+    follow = "cdabe日本語人$"
+    assert 0.9 < sum(math.exp(model.log("ab" + x)) for x in follow) <= 1.0001
+
+
 def test_toxicity_held_out_and_disguised(spark, tmp_path):
     rows, labels = corpus(900)
     clean = rows[[x[2] for x in labels].index(0)][1]
-    extra = ["z0rkle zork1e", "z o r k l e", "z.o.r.k.l.e", "zoooorkle"]
+    extra = ["z0rkle zork1e", "z o r k l e", "z.o.r.k.l.e", "zoooorkle", "z  o  r  k  l  e", "z\to\tr\tk\tl\te", "z o r\nk l e"]
     rows += [(5000 + k, f"{clean} {t} {clean}", "en", "a") for k, t in enumerate(extra)] + [(6000, None, None, None), (6001, "", "en", "a"), (6002, clean, "en", "a"), (6002, clean, "en", "a")]
     path = write(spark, rows, "doc_id long, text string, lang string, source string", tmp_path, "documents")
     write(spark, labels + [(None, 1, 1), (6001, None, None), (0, *labels[0][1:])], "doc_id long, quality int, toxic int", tmp_path, "labels")
