@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import duckdb
@@ -216,6 +217,48 @@ def test_licenses(docs, spark):
     assert licenses.scan_licenses(docs, licenses.known(spark), licenses.known(spark, licenses.NOTICES), 0).count() == docs.count()
 
 
+def wrapped(text, width):
+    """Paragraphs broken anew, lines that name a holder left as they are."""
+    out, part = [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip() and not re.match(r"\W*(copyright \(c\)|copyright \[)", line, re.I):
+            part.append(line.strip())
+            continue
+        out += textwrap.wrap(" ".join(part), width, break_on_hyphens=False) + [line]
+        part = []
+    return "\n".join(out)
+
+
+def test_known_licenses_at_any_width(spark, tmp_path):
+    rows, want = [], {}
+    for name, text in licenses.known_texts().items():
+        for width in (60, 71, 80, 100):
+            for head in ("", "Copyright (c) 1998-2004, The Example Authors <a@b.c>\nAll rights reserved.\n\n", "Copyright The Example Authors\n", "  (c) 2011 Example Ltd\n"):
+                want[len(rows)] = name
+                rows.append((len(rows), head + wrapped(text, width), "en", "a"))
+    for text in ("Copyright notice and this permission: none", "(c) keep the notice", "copyright holders be liable"):
+        rows.append((len(rows), text, "en", "a"))
+    path = write(spark, rows, SCHEMA, tmp_path, "documents")
+    got = licenses.op9_licenses(spark, path).toPandas().sort_values("doc_id")
+    assert {i: x for i, x in zip(got.doc_id, got.license, strict=True) if x} == want and len(licenses.known_texts()) > 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    sql = con.execute(licenses.sql()).df().sort_values("doc_id")
+    assert got.digest.tolist() == sql.digest.tolist() and got.license.fillna("").tolist() == sql.license.fillna("").tolist()
+    # only the three texts that name no holder keep their words
+    assert licenses.known(spark, {"x": ["Copyright notice and this permission: none", "(c) keep the notice", "copyright holders be liable", "© X", "All rights reserved"]}).where("n_chars > 0").count() == 3
+
+
+def test_notices_of_any_words(spark):
+    mine = licenses.known(spark, {"own": ["My own terms apply.", "Nobody: may / copy"], "none": [""]})
+    docs = spark.createDataFrame([(1, "a\n** my OWN terms, apply!\nb"), (2, "nobody may copy"), (3, ""), (4, None), (5, "My own terms")], "doc_id long, text string")
+    for rows in (licenses.BROADCAST_ROWS, 0):
+        got = {r.doc_id: (r.license, r.notices) for r in licenses.scan_licenses(docs, mine, mine, rows).collect()}
+        assert got == {1: (None, ["own"]), 2: ("own", ["own"]), 3: (None, []), 4: (None, []), 5: (None, [])}
+    none = licenses.known(spark, {})
+    assert {(r.license, tuple(r.notices)) for r in licenses.scan_licenses(docs, none, none).collect()} == {(None, ())}
+
+
 def base_spans(t):
     t, out = t or "", []
     for x in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
