@@ -299,6 +299,43 @@ def test_personal_data_beyond_patterns(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_reliabilities_are_estimated():
+    """Votes drawn from labelers of known reliability: the posterior of each pattern is near the true one."""
+    rng = random.Random(21)
+    right, prior = (0.95, 0.85, 0.75, 0.65), 0.4
+    seen, truth = Counter(), Counter()
+    for _ in range(40_000):
+        real = rng.random() < prior
+        v = tuple((1 if real else -1) * (1 if rng.random() < r else -1) for r in right)
+        seen["name", v] += 1
+        truth["name", v] += real
+    got = {key: p for key, p, _ in pii.estimate([(k, v, n) for (k, v), n in sorted(seen.items())])}
+    wrong = [abs(got[key] - truth[key] / n) for key, n in seen.items() if n > 300]
+    assert len(wrong) > 8 and max(wrong) < 0.1, max(wrong)
+    rows = [(k, v, 0, got[k, v], n) for (k, v), n in seen.items()]
+    w = pii.fit(rows)
+    agree = sum(n for k, v, form, p, n in rows if (sum(a * b for a, b in zip(w, pii._features(k, v, form), strict=True)) > 0) == (p > 0.5))
+    assert agree > 0.97 * sum(seen.values())
+
+
+def test_planted_secrets(spark):
+    rng = random.Random(31)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    hexa, base = "0123456789abcdef", "ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789"
+    forms = [lambda: f'token = "{draw(hexa, 40)}"', lambda: f"api_key: {draw(base, 32)}", lambda: f"export AWS_KEY='AKIA{draw(base.upper(), 16)}'", lambda: f"Authorization: Bearer ghp_{draw(base, 36)}"]
+    rows, places = [], {}
+    for k in range(400):
+        value = forms[k % 4]() if k % 5 else ""
+        text = f"{prose(rng, 20)} {value} {prose(rng, 15)} +1 (555) 555-01{k % 100:02d} section 12.4.1"
+        rows.append((k, text))
+        if value:
+            run = max(re.findall("[A-Za-z0-9_]+", value), key=len)
+            places[k] = (text.index(run), text.index(run) + len(run))
+    out = {r.doc_id: {(x.start, x.end) for x in r.spans if x.kind == "secret"} for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(places[k] in out[k] for k in places) >= 0.9 * len(places)
+    assert all(not out[k] for k in out if k not in places)
+
+
 def test_decontaminate_spans_of_any_case(spark):
     item = "The USA and I saw A McDonald sign near the old NATO base in Paris today"
     rows = [
