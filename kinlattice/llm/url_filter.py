@@ -7,10 +7,12 @@ judged by the difference of its log-likelihoods per character against a calibrat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, Shelf, table
+from .common import UPPER, Shelf, spread_join, table
 
 #: Fixed rules: (host, start of the path, verdict).
 RULES = [
@@ -23,7 +25,7 @@ RULES = [
 ORDER = 5
 #: One part in so many, by digest, of the labelled URLs calibrates the bound and trains nothing.
 CALIBRATE = 5
-#: Distinct n-grams of at most ORDER characters that are broadcast (about 40 bytes each).
+#: Distinct n-grams of at most ORDER characters in a broadcast table (about 40 bytes each); more are taken in blocks.
 BROADCAST_ROWS = 500_000
 START, END = "\x02", "\x03"
 
@@ -73,12 +75,15 @@ def _model(counted: DataFrame, order: int, shelf: Shelf) -> list[DataFrame]:
     return out
 
 
-def _ratios(grams: DataFrame, model: list, order: int) -> DataFrame:
+def _ratios(grams: DataFrame, model: list, order: int, broadcast_rows: int) -> DataFrame:
     """(gram, ratio): log p_accepted - log p_rejected of the last character after the others, in units of 1e-9."""
     out = grams.select("gram").distinct().withColumns({"pa": F.lit(1 / 256.0), "pb": F.lit(1 / 256.0)})
     for k, (one, total) in enumerate(model, 1):
         out = out.withColumn("g", F.substr("gram", F.lit(order - k + 1), F.lit(k))).withColumn("c", F.substr("gram", F.lit(order - k + 1), F.lit(k - 1)))
-        out = out.join(one, "g", "left").join(total, "c", "left")
+        # short contexts are few, and common to most n-grams
+        for side, on in ((one, "g"), (total, "c")):
+            n = side.count()
+            out = out.join(F.broadcast(side), on, "left") if n <= broadcast_rows else spread_join(out, side, [on], "gram", "left")
         for s in "ab":
             n, t, d = (F.coalesce(F.col(x), F.lit(0)) for x in (s, f"t{s}", f"d{s}"))
             out = out.withColumn(f"p{s}", F.when(t > 0, (n + d * F.col(f"p{s}")) / (t + d)).otherwise(F.col(f"p{s}")))
@@ -87,13 +92,22 @@ def _ratios(grams: DataFrame, model: list, order: int) -> DataFrame:
 
 
 def _scores(urls: DataFrame, model: list, order: int, shelf: Shelf, broadcast_rows: int) -> DataFrame:
-    """``urls`` (distinct, ``url`` among the columns) with the mean ratio of their characters."""
+    """``urls`` (distinct, ``url`` among the columns) with the mean ratio of their characters.
+
+    No character is shuffled by its n-gram: some n-grams are in every URL. The ratios are broadcast, in
+    blocks where there are many, and the sums of a URL over the blocks are added.
+    """
     grams = _grams(urls, order)
-    ratios = shelf.put(_ratios(grams, model, order))
-    known = F.broadcast(ratios) if ratios.count() <= broadcast_rows else ratios
+    ratios = shelf.put(_ratios(grams, model, order, broadcast_rows))
+    blocks = max(1, -(-ratios.count() // max(1, broadcast_rows)))
+    parts = []
+    for k in range(blocks):
+        block = F.broadcast(ratios.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k))
+        part = grams.join(block, "gram").groupBy(*urls.columns).agg(F.sum("ratio").alias("t"), F.count(F.lit(1)).alias("n"))
+        parts.append(part if blocks == 1 else shelf.put(part))
     # whole numbers: the mean does not depend on the order of addition
-    total, n = F.sum("ratio"), F.count(F.lit(1))
-    return grams.join(known, "gram").groupBy(*urls.columns).agg((((total - F.pmod(total, n)) / n) / 1e9).alias("score"))
+    total, n = F.sum("t"), F.sum("n")
+    return reduce(DataFrame.unionByName, parts).groupBy(*urls.columns).agg((((total - F.pmod(total, n)) / n) / 1e9).alias("score"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -210,5 +210,5 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
     plain = spark.createDataFrame([(1, "http://x.net/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.filter_urls(plain).collect()} == {"allow"}
-    wide = {(r.page_id, r.score) for r in url_filter.filter_urls(pages, broadcast_rows=0).collect()}
+    wide = {(r.page_id, r.score) for r in url_filter.filter_urls(pages, broadcast_rows=400).collect()}
     assert wide == {(r.page_id, r.score) for r in got}
