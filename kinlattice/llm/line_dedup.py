@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Shelf, ascii_lower, maybe_broadcast
+from .common import BLANKS, Shelf, ascii_lower, spread_join
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: A broadcast of so many line hashes is about 30 MB; more are joined by shuffle.
@@ -48,7 +48,9 @@ def line_dedup(
     # rows a key has are at least the documents it has: a cheap first cut without a distinct
     common = shelf.put(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key"))
     n = common.count()
-    shared = shelf.put(held.join(maybe_broadcast(common, n, broadcast_rows), "key", "left_semi").distinct())
+    # one line may stand in a third of all documents
+    near = (lambda df, side: df.join(F.broadcast(side), "key")) if n <= broadcast_rows else (lambda df, side: spread_join(df, side, ["key"], "doc_id"))
+    shared = shelf.put(near(held, common).distinct())
     repeated = (
         shared.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
@@ -56,7 +58,7 @@ def line_dedup(
         .select("key", "keeper")
     )
     lost = shelf.put(
-        shared.join(maybe_broadcast(repeated, n, broadcast_rows), "key")
+        near(shared, repeated)
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("_lost"))
