@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, BLANKS, Shelf, ascii_lower, maybe_broadcast, table
+from .common import BLANK_CLASS, BLANKS, Shelf, ascii_lower, spread_join, table
 
 GRAM = 8
 #: Lines in more distinct documents of one host are boilerplate.
@@ -47,7 +47,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """Base counts of every row, and its lines as (a, b, n): two hashes of the normalised line, its words."""
     text = F.coalesce("text", F.lit(""))
     has_word = lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0
-    one = docs.select("doc_id", F.col("source").alias("host"), text.alias("t")).select(
+    host = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    one = docs.select("doc_id", host.alias("host"), text.alias("t")).select(
         "doc_id", "host", "t", words_of(F.col("t")).alias("words"), F.filter(F.split("t", "\n", -1), has_word).alias("lines")
     )
     one = one.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -83,7 +84,7 @@ def quality(
     least_words: int = LEAST_WORDS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """A row of counts and verdicts for every row of ``docs`` (``doc_id``, ``text``, ``source``: the host).
+    """A row of counts and verdicts for every row of ``docs`` (``doc_id``, ``text``, ``source``: the host, one for all if missing).
 
     ``base_failed``: fewer than 20 words, or more than 30 in 100 of them in repeated eight-word
     windows. ``removed_words``: words of lines that more than ``max_docs`` distinct doc_ids of the host
@@ -100,10 +101,13 @@ def quality(
     often = shelf.put(held.where(F.col("n") > max_docs).select("host", "k.a", "k.b"))
     n = often.count()
     lines = rows.select("row", "doc_id", host.alias("host"), F.explode("lines").alias("x")).select("row", "doc_id", "host", "x.*")
-    seen = shelf.put(lines.join(maybe_broadcast(often, n, broadcast_rows), ["host", "a", "b"]).groupBy("row", "doc_id", "host", "a", "b").agg(F.sum("n").alias("n")))
+    # one line of one host may stand in a third of all rows
+    on = ["host", "a", "b"]
+    near = (lambda df, side: df.join(F.broadcast(side), on)) if n <= broadcast_rows else (lambda df, side: spread_join(df, side, on, "row"))
+    seen = shelf.put(near(lines, often).groupBy("row", "doc_id", "host", "a", "b").agg(F.sum("n").alias("n")))
     ids = seen.select("host", "a", "b", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d"))
     common = ids.groupBy("host", "a", "b").agg(F.count_distinct("d").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
-    removed = seen.join(maybe_broadcast(common, n, broadcast_rows), ["host", "a", "b"]).groupBy("row").agg(F.sum("n").alias("removed_words"))
+    removed = near(seen, common).groupBy("row").agg(F.sum("n").alias("removed_words"))
     out = rows.drop("lines", "host").join(removed, "row", "left").drop("row")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
