@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Shelf, ship
+from .relational import spread_join
 
 #: Fixed depth cap of pedigree walks; it also ends walks in cyclic data.
 MAX_DEPTH = 50
+#: Rows of a graph that one task takes when rounds over the whole of it have left no more.
+LOCAL_ROWS = 300_000
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,7 +29,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = shelf.put(both.join(least, "a").where("b > a AND m <> b").selectExpr("m AS a", "b").distinct())
+        large = shelf.put(spread_join(both, least, ["a"], "b").where("b > a AND m <> b").selectExpr("m AS a", "b").distinct())
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         before, now = now, shelf.put(small)
@@ -36,20 +42,26 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def depth_sql(edges_view: str, cap: int = MAX_DEPTH) -> str:
-    """A recursive query for the longest parent-to-child chain below each root, capped."""
-    return f"""
-        WITH RECURSIVE chain(root, node, depth) AS (
-          SELECT DISTINCT parent, parent, 1 FROM {edges_view} WHERE parent NOT IN (SELECT child FROM {edges_view})
-          UNION ALL
-          SELECT c.root, e.child, c.depth + 1 FROM chain c JOIN {edges_view} e ON e.parent = c.node WHERE c.depth < {cap}
-        ) SELECT root, CAST(max(depth) AS INT) AS depth FROM chain GROUP BY root"""
-
-
 def pedigree_depth(spark: SparkSession, edges: DataFrame, cap: int = MAX_DEPTH) -> DataFrame:
-    """(root, depth). Edges are a level of a pedigree, so each round of the recursion is one equi-join."""
-    edges.createOrReplaceTempView("_kinlattice_edges")
-    return spark.sql(depth_sql("_kinlattice_edges", cap))
+    """(root, depth): people of the longest parent-to-child chain below each root, at most ``cap``.
+
+    ``edges``: (parent, child). One join a level; only distinct (root, node) of a level are kept.
+    """
+    shelf = Shelf(spark)
+    edges = shelf.put(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct())
+    roots = edges.select("parent").distinct().join(edges.select(F.col("child").alias("parent")), "parent", "left_anti")
+    level = shelf.put(roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
+    reached = [level.select("root").withColumn("depth", F.lit(1))]
+    for depth in range(2, cap + 1):
+        # a root may be the node of every row of a level
+        down = level.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        level, before = shelf.put(down), level
+        if depth > 2:
+            shelf.drop(before)
+        if level.isEmpty():
+            break
+        reached.append(shelf.put(level.select("root").distinct().withColumn("depth", F.lit(depth))))
+    return reduce(DataFrame.unionByName, reached).groupBy("root").agg(F.max("depth").alias("depth"))
 
 
 def ancestors(edges: DataFrame, start: DataFrame, generations: int) -> DataFrame:
@@ -60,14 +72,15 @@ def ancestors(edges: DataFrame, start: DataFrame, generations: int) -> DataFrame
     """
     shelf = Shelf(edges.sparkSession)
     level = shelf.put(start.select(F.col("id").alias("start"), F.col("id").alias("ancestor"), F.lit(0).alias("generation")))
-    seen = level
+    levels = [level]
     for g in range(1, generations + 1):
         up = level.join(edges, level["ancestor"] == edges["child"]).select("start", F.col("parent").alias("ancestor")).distinct()
+        seen = reduce(DataFrame.unionByName, levels)
         level = shelf.put(up.join(seen, ["start", "ancestor"], "left_anti").withColumn("generation", F.lit(g)))
         if level.isEmpty():
             break
-        seen = shelf.put(seen.unionByName(level))
-    return seen.where("generation > 0").select("start", "generation", "ancestor")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).where("generation > 0").select("start", "generation", "ancestor")
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, max_hops: int = 12) -> DataFrame:
@@ -77,18 +90,19 @@ def shortest_paths(edges: DataFrame, start: DataFrame, max_hops: int = 12) -> Da
     """
     shelf = Shelf(edges.sparkSession)
     best = shelf.put(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.lit(0).alias("spouses"), F.array().cast("array<string>").alias("path")))
-    frontier = best
+    frontier, found = best, [best]
     for _ in range(max_hops):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(
             "start", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops"), (F.col("spouses") + (F.col("kind") == "spouse").cast("int")).alias("spouses"),
             F.concat("path", F.array("kind")).alias("path"),
         )
         one = step.groupBy("start", "node").agg(F.min(F.struct("hops", "spouses", "path")).alias("x")).select("start", "node", "x.*")
+        best = reduce(DataFrame.unionByName, found)
         frontier = shelf.put(one.join(best, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        best = shelf.put(best.unionByName(frontier))
-    return best
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
 
 
 def walk(anchors: DataFrame, edges: DataFrame, people: DataFrame, steps: list[tuple[str, str | None]]) -> DataFrame:
@@ -166,11 +180,19 @@ def greedy_modularity(edges: list[tuple], nodes: list, resolution: float = 1.0)
         between[b][a] = between[b].get(a, 0.0) + w
     gain = lambda a, b: between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total)
     members = {n: [n] for n in nodes}
-    while True:
-        best = max(((round(gain(a, b), 12), a, b) for a in between for b in between[a] if a < b), key=lambda x: (x[0], [-ord(c) for c in str(x[1])], [-ord(c) for c in str(x[2])]), default=None)
-        if best is None or best[0] <= 0:
+    rank = {n: k for k, n in enumerate(sorted(nodes, key=str))}
+    entry = lambda a, b: (-round(gain(a, b), 12), *sorted((rank[a], rank[b])), a, b)
+    heap = [entry(a, b) for a in between for b in between[a] if rank[a] < rank[b]]
+    heapq.heapify(heap)
+    while heap:
+        # entries of clusters that have changed are stale: the right ones were pushed when they changed
+        top = heapq.heappop(heap)
+        a, b = top[3], top[4]
+        if a not in between or b not in between.get(a, ()) or top != entry(a, b):
+            continue
+        if top[0] >= 0:
             break
-        _, a, b = best
+        a, b = sorted((a, b), key=rank.get)
         for c, w in between.pop(b).items():
             between[c].pop(b)
             if c != a:
@@ -178,6 +200,8 @@ def greedy_modularity(edges: list[tuple], nodes: list, resolution: float = 1.0)
                 between[c][a] = between[a][c]
         degree[a] += degree.pop(b)
         members[a] += members.pop(b)
+        for c in between[a]:
+            heapq.heappush(heap, entry(a, c))
     return {n: min(m) for m in members.values() for n in m}
 
 
@@ -222,16 +246,45 @@ def cyclic(edges: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
     return now.select(F.col("src").alias("id")).distinct()
 
 
-def cycle_groups(edges: DataFrame) -> DataFrame:
+def cycle_groups(edges: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(id, component): strongly connected components of two or more nodes, named by the least id.
 
-    Trimming leaves cycles and what lies between them; each weak component of that remainder is a task.
+    Trimming leaves cycles and what lies between them. While more than ``local_rows`` edges are left, every
+    node takes the least id that reaches it, and those that reach that id in turn are its component; they
+    go, and the rest is trimmed again. One task does the last edges, which are at most ``local_rows``.
     """
     ship(edges.sparkSession)
-    left = cyclic(edges)
-    core = edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    weak = components(left, core.selectExpr("src AS a", "dst AS b"))
+    shelf = Shelf(edges.sparkSession)
     kind = dict(edges.dtypes)["src"]
+    done: list[DataFrame] = []
+    now = edges.select("src", "dst")
+    while True:
+        left = cyclic(now)
+        both = lambda df, ids: df.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        now = shelf.put(both(now, left).select("src", "dst").distinct())
+        if now.count() <= local_rows:
+            break
+        # the least id that reaches a node
+        color = shelf.put(left.select("id", F.col("id").alias("color")))
+        while True:
+            sent = spread_join(now, color.withColumnRenamed("id", "src"), ["src"], "dst").groupBy(F.col("dst").alias("id")).agg(F.min("color").alias("new"))
+            stepped = shelf.put(color.join(sent, "id", "left").select("id", F.least("color", F.coalesce("new", "color")).alias("color"), (F.col("new") < F.col("color")).alias("moved")))
+            moved = not stepped.where("moved").isEmpty()
+            color = stepped.drop("moved")
+            if not moved:
+                break
+        # backwards from each color's own node, within its color
+        inner = shelf.put(_colored(now, color))
+        reach = shelf.put(color.where("id = color"))
+        level, found = reach, [reach]
+        while not level.isEmpty():
+            up = level.join(inner, (level["id"] == inner["dst"]) & (level["color"] == inner["color"])).select(inner["src"].alias("id"), inner["color"]).distinct()
+            level = shelf.put(up.join(reduce(DataFrame.unionByName, found), ["id", "color"], "left_anti"))
+            found.append(level)
+        group = reduce(DataFrame.unionByName, found).distinct()
+        done.append(shelf.put(group.join(group.groupBy("color").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "color", "left_semi").select("id", F.col("color").alias("component"))))
+        gone = group.select("id")
+        now = shelf.put(now.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
 
     def run(rows):
         import pandas as pd
@@ -239,8 +292,15 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
         found = [(n, min(g)) for g in strong_components(rows["src"].tolist(), rows["dst"].tolist()) if len(g) > 1 for n in g]
         return pd.DataFrame(found, columns=["id", "component"])
 
-    dealt = core.select("src", "dst").distinct().join(weak.select(F.col("id").alias("src"), "component"), "src")
-    return dealt.groupBy("component").applyInPandas(run, f"id {kind}, component {kind}")
+    last = now.groupBy().applyInPandas(run, f"id {kind}, component {kind}")
+    return reduce(DataFrame.unionByName, [*done, last])
+
+
+def _colored(edges: DataFrame, color: DataFrame) -> DataFrame:
+    """(src, dst, color) of edges whose ends have one color."""
+    side = lambda end: color.select(F.col("id").alias(end), F.col("color").alias(f"_{end}"))
+    both = spread_join(spread_join(edges, side("src"), ["src"], "dst"), side("dst"), ["dst"], "src")
+    return both.where("_src = _dst").select("src", "dst", F.col("_src").alias("color"))
 
 
 def strong_components(src: list, dst: list) -> list[list]:

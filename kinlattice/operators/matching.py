@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phonetic, similarity
-from ..storage import ship
-from . import evidence, graph
+from ..storage import Shelf, ship
+from . import evidence
+from .relational import spread_join
 
 #: Weights of the person score; a person without codes is in the block "".
+#: Pairs that one task assigns when rounds over all of them have left no more.
+LOCAL_PAIRS = 500_000
+#: Rows of a curated table that are broadcast.
+BROADCAST_ROWS = 100_000
 PERSON_WEIGHTS = {"phonetic": 0.3, "name": 0.3, "birth_year": 0.2, "birth_place": 0.2}
 
 
@@ -43,7 +48,8 @@ def blocked_pairs(df: DataFrame, key: str, codes: str) -> DataFrame:
     """
     by = blocks(df, key, codes)
     left, right = by.select("code", F.col(key).alias("a")), by.select("code", F.col(key).alias("b"))
-    return left.join(right, "code").where("a < b").select("a", "b").distinct()
+    # one code, or none, may be that of a third of all rows
+    return spread_join(left, right, ["code"], "a").where("a < b").select("a", "b").distinct()
 
 
 def block_sizes(df: DataFrame, key: str, codes: str) -> DataFrame:
@@ -54,13 +60,13 @@ def cross_blocked_pairs(a: DataFrame, b: DataFrame, key: str, codes: str) -> Dat
     """(a, b) of rows of two tables that share a code."""
     left = blocks(a, key, codes).withColumnRenamed(key, "a")
     right = blocks(b, key, codes).withColumnRenamed(key, "b")
-    return left.join(right, "code").select("a", "b").distinct()
+    return spread_join(left, right, ["code"], "a").select("a", "b").distinct()
 
 
 def token_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b, of texts that share a word. A block that loses pairs: misspelt words; ``similar_texts`` has those."""
     words = df.select(F.col(key).alias("k"), F.explode(similarity.word_set(F.col(text))).alias("w"))
-    return words.withColumnRenamed("k", "a").join(words.withColumnRenamed("k", "b"), "w").where("a < b").select("a", "b").distinct()
+    return spread_join(words.withColumnRenamed("k", "a"), words.withColumnRenamed("k", "b"), ["w"], "a").where("a < b").select("a", "b").distinct()
 
 
 def block_keys(least: float):
@@ -106,7 +112,7 @@ def similar_texts(texts: DataFrame, least: float, nested: bool = False) -> DataF
         level = F.get(similarity.levels(F.col("text")), 0)
         keys = F.concat(keys, F.when(level.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("l:"), level))))
     by = texts.select("text", F.explode(F.array_distinct(keys)).alias("key"))
-    near = by.withColumnRenamed("text", "x").join(by.withColumnRenamed("text", "y"), "key").where("x < y").select("x", "y").distinct()
+    near = spread_join(by.withColumnRenamed("text", "x"), by.withColumnRenamed("text", "y"), ["key"], "x").where("x < y").select("x", "y").distinct()
     every = near.unionByName(texts.selectExpr("text AS x", "text AS y")).withColumn("ratio", similarity.token_set_ratio("x", "y"))
     keep = F.col("ratio") >= least - 1e-9
     return every.where(keep | (similarity.place_score(F.col("x"), F.col("y"), F.col("ratio")) >= 0.85) if nested else keep)
@@ -165,19 +171,23 @@ def person_scores(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("score", F.when(F.coalesce(clash, F.lit(False)), 0.0).otherwise(score)).drop("_g", "_s", "_p")
 
 
-def assign(pairs: DataFrame) -> DataFrame:
+def assign(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """Greedy one-to-one choice by (score desc, a, b). ``pairs``: (a, b, score).
 
-    A choice only depends on pairs that share an end, so each connected component is a task of its own
-    and the result is that of one global pass.
+    A pair that is the best of both its ends is chosen by a global pass too, whatever else there is. Rounds
+    choose all such pairs and drop what shares an end with them, until at most ``local_pairs`` are left
+    for one task, which goes through them in order. The result is that of one global pass.
     """
     ship(pairs.sparkSession)
+    shelf = Shelf(pairs.sparkSession)
     kinds = dict(pairs.dtypes)
-    # both sides' ids in one space
-    left, right = F.xxhash64(F.lit("left"), "a"), F.xxhash64(F.lit("right"), "b")
-    ids = pairs.select(left.alias("x"), right.alias("y"))
-    comp = graph.components(ids.select(F.col("x").alias("id")), ids.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    dealt = pairs.select("a", "b", "score", left.alias("id")).join(comp, "id")
+    now = shelf.put(pairs.select("a", "b", F.col("score").cast("double").alias("score")))
+    done: list[DataFrame] = []
+    while now.count() > local_pairs:
+        best = lambda own, other: now.groupBy(own).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(other).alias("o"))).alias("x")).select(own, F.col("x.o").alias(other), (-F.col("x.s")).alias("score"))
+        both = shelf.put(best("a", "b").join(best("b", "a"), ["a", "b", "score"]))
+        done.append(both)
+        now = shelf.put(now.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti"))
 
     def choose(rows):
         rows = rows.sort_values(["score", "a", "b"], ascending=[False, True, True])
@@ -189,7 +199,10 @@ def assign(pairs: DataFrame) -> DataFrame:
                 keep.append(k)
         return rows.iloc[keep][["a", "b", "score"]]
 
-    return dealt.groupBy("component").applyInPandas(choose, f"a {kinds['a']}, b {kinds['b']}, score double")
+    out = now.groupBy().applyInPandas(choose, f"a {kinds['a']}, b {kinds['b']}, score double")
+    for part in done:
+        out = out.unionByName(part.select("a", "b", "score"))
+    return out
 
 
 def match_families(left: DataFrame, right: DataFrame, people: DataFrame) -> DataFrame:
@@ -228,12 +241,15 @@ def match_names(query: DataFrame, candidates: DataFrame, synonyms: DataFrame, le
     """
     ship(query.sparkSession)
 
+    known = synonyms.select(F.col("form").alias("latin"), F.col("canonical").alias("synonym"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+
     def forms(df, key):
         name = F.lower(F.trim("name"))
         latin = phonetic.canonical_form(F.col("name"))
         folded = phonetic.fold(phonetic.fold(phonetic.fold(name, "pl"), "cs"), "de")
         out = df.select(key, name.alias("exact"), folded.alias("folded"), latin.alias("latin"))
-        out = out.join(F.broadcast(synonyms.select(F.col("form").alias("latin"), F.col("canonical").alias("synonym"))), "latin", "left")
+        out = out.join(known, "latin", "left")
         out = out.withColumn("codes", phonetic.dm_codes(F.upper("latin")))
         # what two names must share to be compared; the first letter lets the ratio tier see near spellings
         keys = F.array(F.concat(F.lit("l:"), "latin"), F.concat(F.lit("s:"), F.coalesce("synonym", "latin")), F.concat(F.lit("i:"), F.left("latin", F.lit(1))))
@@ -241,7 +257,7 @@ def match_names(query: DataFrame, candidates: DataFrame, synonyms: DataFrame, le
 
     q, c = forms(query, "q"), forms(candidates, "c")
     c = c.select("key", "c", *(F.col(x).alias(f"{x}_c") for x in ("exact", "folded", "latin", "synonym", "codes")))
-    both = q.join(c, "key").drop("key").dropDuplicates(["q", "c"])
+    both = spread_join(q, c, ["key"], "q").drop("key").dropDuplicates(["q", "c"])
     both = both.withColumn("_r", similarity.indel_ratio(F.col("latin"), F.col("latin_c")))
     same = lambda x: F.coalesce(F.col(x) == F.col(f"{x}_c"), F.lit(False))
     tiers = [("exact", same("exact"), 1.0), ("diacritic", same("folded"), 0.92), ("synonym", same("synonym"), 0.88), ("transliteration", same("latin"), 0.85), ("phonetic", F.arrays_overlap("codes", "codes_c"), 0.75)]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 
+#: Rows of a curated table that are broadcast.
+BROADCAST_ROWS = 100_000
 FINDING = ["file", "rule", "severity", "subject", "detail"]
 
 
@@ -108,7 +110,7 @@ def dropped_tags(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     kinds = nodes.where("level = 0").select("file", "root", F.col("tag").alias("kind"))
     rows = nodes.where("level > 0").join(kinds, ["file", "root"]).select("file", "no", "kind", "tag")
-    r = F.broadcast(rules)
+    r = F.broadcast(rules) if rules.count() <= BROADCAST_ROWS else rules
     full = rows.withColumn("pattern", F.explode(F.array(F.concat_ws(".", "kind", "tag"), "tag", F.concat(F.left("tag", F.lit(1)), F.lit("*")))))
     rank = F.when(F.col("pattern").contains("."), 0).when(F.col("pattern").endswith("*"), 2).otherwise(1)
     hits = full.join(r, "pattern").withColumn("_k", rank)

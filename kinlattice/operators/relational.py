@@ -98,3 +98,17 @@ def dangling(refs: DataFrame, key: str, targets: DataFrame, target_key: str) ->
     """References that point nowhere; null references are none."""
     side = targets.select(F.col(target_key).alias("_k"))
     return refs.where(F.col(key).isNotNull()).join(side, F.col(key) == F.col("_k"), "left_anti")
+
+
+#: Parts that the rows of one key are dealt to in a join that expects hot keys.
+SALTS = 8
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: Sequence[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` where one key may hold a third of ``rows``.
+
+    The rows of a key are dealt to SALTS parts by the hash of column ``by``, and ``side`` is given to each part.
+    """
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(side.withColumn("_salt", parts), [*on, "_salt"], how).drop("_salt")

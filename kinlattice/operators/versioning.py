@@ -96,27 +96,31 @@ def rewrite_key(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 
 def merge_people(people: DataFrame, names: DataFrame, events: DataFrame, mapping: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """People, names and events after merges: the merged are marked deleted, their names follow (order + 1000),
+    """People, names and events after merges: the merged are marked deleted, their names follow (order + 1000).
 
-    their events move to the survivor, and events equal in kind, day and place collapse into the one with
-    most sources, then most confidence, then the oldest.
+    Their events move to the survivor, but for those that equal an event of the survivor in kind, custom
+    kind, day and place, nulls included: these collapse into it and go. Nobody else's events change.
+    ``events``: (event, person, kind, day, place) and, if there is one, custom; other columns stay.
     """
     gone = soft_delete(people, mapping.select(F.col("merged").alias("id")), "id", now)
     gone = gone.join(mapping.select(F.col("merged").alias("id"), F.col("survivor").alias("merged_into")), "id", "left")
     side = mapping.select(F.col("merged").alias("_m"))
     moved = names.join(side, F.col("person") == F.col("_m"), "left")
     moved = moved.withColumn("sort_order", F.col("sort_order") + F.when(F.col("_m").isNotNull(), 1000).otherwise(0)).drop("_m")
-    best = F.max_by(F.struct(*[c for c in events.columns if c != "person"]), F.struct("sources", "confidence", -F.col("created"), -F.col("event")))
-    kept = rewrite_key(events, "person", mapping).groupBy("person", "kind", "day", "place").agg(best.alias("x"))
-    return gone, rewrite_key(moved, "person", mapping), kept.select("person", "x.*")
+    fall = merge_preview(events, mapping).select(F.col("event_b").alias("event")).distinct()
+    kept = rewrite_key(events.join(fall, "event", "left_anti"), "person", mapping).select(*events.columns)
+    return gone, rewrite_key(moved, "person", mapping), kept
 
 
 def merge_preview(events: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(survivor, merged, event_a, event_b): events that would collapse; kind, day and place compare null-safe."""
-    a = events.join(mapping, F.col("person") == F.col("survivor")).selectExpr("survivor", "merged", "event AS event_a", "kind", "day", "place")
-    b = events.join(mapping, F.col("person") == F.col("merged")).selectExpr("survivor AS _s", "merged AS _m", "event AS event_b", "kind AS _k", "day AS _d", "place AS _p")
-    same = F.col("kind").eqNullSafe(F.col("_k")) & F.col("day").eqNullSafe(F.col("_d")) & F.col("place").eqNullSafe(F.col("_p"))
-    return a.join(b, (F.col("survivor") == F.col("_s")) & (F.col("merged") == F.col("_m")) & same).select("survivor", "merged", "event_a", "event_b")
+    """(survivor, merged, event_a, event_b): events that would collapse; kind, custom kind, day and place compare null-safe."""
+    same = [c for c in ("kind", "custom", "day", "place") if c in events.columns]
+    a = events.join(mapping, F.col("person") == F.col("survivor")).select("survivor", "merged", F.col("event").alias("event_a"), *same)
+    b = events.join(mapping, F.col("person") == F.col("merged")).select(F.col("survivor").alias("_s"), F.col("merged").alias("_m"), F.col("event").alias("event_b"), *(F.col(c).alias(f"_{c}") for c in same))
+    equal = (F.col("survivor") == F.col("_s")) & (F.col("merged") == F.col("_m"))
+    for c in same:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(b, equal).select("survivor", "merged", "event_a", "event_b")
 
 
 def undo(versions: DataFrame, key: str, at: str, since: Column, until: Column) -> DataFrame:

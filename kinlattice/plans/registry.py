@@ -6,28 +6,15 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, subset: str | None = None, part: str | None = None, whole: str | None = None):
-    """With ``subset``, a condition, the function takes it as a third argument, and ``name_whole`` runs it on whole tables.
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) that runs over whole tables, and its SQL, if any."""
 
-    ``part`` is the condition as it stands in the SQL, if it differs; the whole query's SQL is the SQL
-    without it, or ``whole`` ("" for none).
-    """
-
-    def add(name, sql, f):
+    def register(f):
         assert name not in QUERIES, name
         QUERIES[name] = f
         if sql:
             ORACLES[name] = sql
         f.__name__ = name
-
-    def register(f):
-        if subset is None:
-            add(name, sql, f)
-            return f
-        here = part or subset
-        assert whole is not None or here in sql, name
-        add(name, sql, lambda spark, d: f(spark, d, subset))
-        add(f"{name}_whole", sql.replace(here, "true") if whole is None else whole, lambda spark, d: f(spark, d, "true"))
         return f
 
     return register

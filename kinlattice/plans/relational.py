@@ -451,26 +451,12 @@ def _(spark, d):
 
 @query(
     "a12_collision_groups",
-    """WITH k AS (SELECT doc_id, lower(trim(left(text, 24))) AS key, lang FROM documents),
-       g AS (SELECT key, lang, count(*) AS n, min(doc_id) AS a, max(doc_id) AS b FROM k GROUP BY ALL HAVING count(*) >= 2)
-       SELECT key, lang, n, n - 1 AS excess, a, b FROM g ORDER BY n DESC, key, lang LIMIT 50""",
-)
-def _(spark, d):
-    return collisions(spark, d, F.left("text", F.lit(24)))
-
-
-@query(
-    "a12_collision_groups_whole",
     """WITH k AS (SELECT doc_id, lower(trim(text)) AS key, lang FROM documents),
        g AS (SELECT key, lang, count(*) AS n, min(doc_id) AS a, max(doc_id) AS b FROM k GROUP BY ALL HAVING count(*) >= 2)
        SELECT key, lang, n, n - 1 AS excess, a, b FROM g ORDER BY n DESC, key, lang LIMIT 50""",
 )
 def _(spark, d):
-    return collisions(spark, d, F.col("text"))
-
-
-def collisions(spark, d, text):
-    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim(text)).alias("key"), "lang")
+    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("text")).alias("key"), "lang")
     g = docs.groupBy("key", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("n >= 2")
     return R.page(g.select("key", "lang", "n", (F.col("n") - 1).alias("excess"), "a", "b"), [F.desc("n"), F.asc("key"), F.asc("lang")], 50)
 

@@ -16,14 +16,19 @@ BIN = 20_000
 #: Fixed grammar: level, optional xref, tag, optional value.
 LINE = r"^\s*(\d{1,2})\s+(?:@([^@]+)@\s+)?([A-Za-z0-9_]+)(?: (.*))?$"
 #: Fixed tags.
-PERSON_EVENTS = "BIRT CHR DEAT BURI CREM ADOP BAPM BARM BASM BLES CHRA CONF FCOM ORDN NATU EMIG IMMI CENS PROB WILL GRAD RETI EVEN OCCU RESI".split()
-FAMILY_EVENTS = "MARR DIV ANUL ENGA MARB MARC MARL MARS DIVF CENS EVEN".split()
+PERSON_EVENTS = [
+    "BIRT", "CHR", "DEAT", "BURI", "CREM", "ADOP", "BAPM", "BARM", "BASM", "BLES", "CHRA", "CONF", "FCOM", "ORDN", "NATU", "EMIG", "IMMI", "CENS", "PROB", "WILL", "GRAD", "RETI", "EVEN",
+    "CAST", "DSCR", "EDUC", "IDNO", "NATI", "NCHI", "NMR", "OCCU", "PROP", "RELI", "RESI", "SSN", "TITL", "FACT",
+]
+FAMILY_EVENTS = ["ANUL", "CENS", "DIV", "DIVF", "ENGA", "MARB", "MARC", "MARR", "MARL", "MARS", "RESI", "EVEN"]
+#: Direct children that an extractor reads, by kind of record; all others are quarantined.
 KNOWN_TAGS = {
-    "INDI": ["NAME", "SEX", "FAMS", "FAMC", "SOUR", "NOTE", "OBJE", "CHAN", "REFN", "RIN", *PERSON_EVENTS],
-    "FAM": ["HUSB", "WIFE", "CHIL", "SOUR", "NOTE", "OBJE", "CHAN", "REFN", "RIN", *FAMILY_EVENTS],
-    "SOUR": ["TITL", "AUTH", "ABBR", "PUBL", "TEXT", "REPO", "NOTE", "CHAN", "REFN", "RIN", "DATA", "OBJE"],
-    "REPO": ["NAME", "ADDR", "PHON", "NOTE", "CHAN", "REFN", "RIN"], "NOTE": ["SOUR", "CHAN", "REFN", "RIN"],
-    "OBJE": ["FILE", "FORM", "TITL", "NOTE", "CHAN", "REFN", "RIN"], "SUBM": ["NAME", "ADDR", "PHON", "LANG", "CHAN", "RIN"],
+    "INDI": ["NAME", "SEX", "FAMS", "FAMC", "NOTE", "SOUR", "OBJE", *PERSON_EVENTS],
+    "FAM": ["HUSB", "WIFE", "CHIL", "NOTE", "SOUR", "OBJE", *FAMILY_EVENTS],
+    "SOUR": ["TITL", "AUTH", "PUBL", "ABBR", "TEXT", "REPO", "DATA", "NOTE", "OBJE"],
+    "NOTE": ["CONC", "CONT", "SOUR"], "OBJE": ["FILE", "FORM", "TITL", "NOTE", "SOUR", "_FILE"],
+    "REPO": ["NAME", "ADDR", "PHON", "EMAIL", "WWW", "NOTE"], "SUBM": ["NAME", "ADDR", "PHON", "EMAIL", "WWW", "LANG", "RFN", "RIN", "NOTE"],
+    "HEAD": ["GEDC", "SOUR", "DEST", "DATE", "SUBM", "SUBN", "FILE", "COPR", "CHAR", "LANG", "NOTE"],
 }
 
 
@@ -166,7 +171,7 @@ def events(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         part = own.join(child_rows(nodes, tags), ["file", "up"]).withColumn("owner", F.lit(tag))
         out = part if out is None else out.unionByName(part)
     out = pivoted(out.withColumnRenamed("value", "own_value"), nodes, ["DATE", "PLAC", "TYPE"])
-    return out.select("file", "owner", "xref", "no", F.col("tag").alias("type"), F.when(F.col("tag") == "EVEN", F.coalesce("type", "own_value")).alias("custom"), F.col("date").alias("date_raw"), F.trim("plac").alias("place_raw"))
+    return out.select("file", "owner", "xref", "no", F.col("tag").alias("type"), F.when(F.col("tag").isin("EVEN", "FACT"), F.coalesce("type", "own_value")).alias("custom"), F.col("date").alias("date_raw"), F.trim("plac").alias("place_raw"))
 
 
 def families(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -219,7 +224,7 @@ def quarantine(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     above = Window.partitionBy("file", "root").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     first = nodes.withColumn("top", F.last(F.when(F.col("level") == 1, F.col("no")), ignorenulls=True).over(above))
     inside = first.select("file", "no", "top").join(odd.drop("root"), ["file", "top"]).select("file", "owner", "kind", "no", "top")
-    whole = nodes.where("level = 0").where(~F.col("tag").isin("HEAD", "TRLR", *KNOWN_TAGS)).select("file", F.col("xref").alias("owner"), F.col("tag").alias("kind"), F.col("no").alias("root"))
+    whole = nodes.where("level = 0").where(~F.col("tag").isin("TRLR", *KNOWN_TAGS)).select("file", F.col("xref").alias("owner"), F.col("tag").alias("kind"), F.col("no").alias("root"))
     rest = nodes.select("file", "no", "root").join(whole, ["file", "root"]).select("file", "owner", "kind", "no", F.col("root").alias("top"))
     return inside.unionByName(rest)
 

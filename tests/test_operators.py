@@ -82,6 +82,11 @@ def test_components_and_cycles(spark):
     ring = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (7, 1), (6, 8)]
     assert {(r.id, r.component) for r in graph.cycle_groups(table(spark, ring, "src long, dst long")).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
     assert graph.cycle_groups(table(spark, [(1, 2), (2, 3)], "src long, dst long")).count() == 0
+    # rounds over the whole graph, without a last task, give the same
+    again = random.Random(3)
+    links = [*ring, *{(100 + again.randrange(30), 100 + again.randrange(30)) for _ in range(45)}]
+    groups = lambda rows: {(r.id, r.component) for r in graph.cycle_groups(table(spark, links, "src long, dst long"), rows).collect()}
+    assert groups(0) == groups(1000) and len(groups(0)) > 8
 
 
 def test_shortest_paths(spark):
@@ -112,7 +117,15 @@ def test_assignment_equals_a_global_pass(spark):
             left.add(a)
             right.add(b)
             want.add((a, b, s))
-    assert {tuple(r) for r in matching.assign(table(spark, rows, "a int, b int, score double")).collect()} == want
+    for local in (matching.LOCAL_PAIRS, 20, 0):
+        assert {tuple(r) for r in matching.assign(table(spark, rows, "a int, b int, score double"), local).collect()} == want
+
+
+def test_pedigree_depth(spark):
+    edges = [(k, k + 1) for k in range(1, 60)] + [(100, 5), (100, 101), (7, 7000), (100, 101), (None, 3), (200, None)]
+    got = {r.root: r.depth for r in graph.pedigree_depth(spark, table(spark, edges, "parent int, child int")).collect()}
+    assert got == {1: 50, 100: 50}
+    assert graph.pedigree_depth(spark, table(spark, [(1, 2), (2, 1)], "parent int, child int")).count() == 0
 
 
 def test_blocks_without_codes(spark):
@@ -154,7 +167,11 @@ def test_merge_people(spark):
     p, n, e = versioning.merge_people(people, names, events, table(spark, [(2, 1)], "merged int, survivor int"), F.lit(datetime(2024, 1, 1)))
     assert {(r.id, r.deleted_at, r.merged_into) for r in p.collect()} == {(1, None, None), (2, datetime(2024, 1, 1), 1), (3, datetime(2020, 1, 1), None)}
     assert sorted(tuple(r) for r in n.collect()) == [(1, 0), (1, 1000), (1, 1001)]
-    assert {(r.person, r.event) for r in e.collect()} == {(1, 2), (1, 3)}
+    assert {(r.person, r.event) for r in e.collect()} == {(1, 1), (1, 3)}
+    # equal events of somebody who is in no merge stay, and so do equal events of the merged that the survivor has not
+    events = table(spark, [(1, 9, "RESI", "d", None, None), (2, 9, "RESI", "d", None, None), (3, 2, "RESI", "d", None, "a"), (4, 2, "RESI", "d", None, "a"), (5, 1, "RESI", "d", None, "b"), (6, 2, "EVEN", None, None, None), (7, 1, "EVEN", None, None, None)], "event int, person int, kind string, day string, place string, custom string")
+    e = versioning.merge_people(people, names, events, table(spark, [(2, 1)], "merged int, survivor int"), F.lit(datetime(2024, 1, 1)))[2]
+    assert {(r.person, r.event) for r in e.collect()} == {(9, 1), (9, 2), (1, 3), (1, 4), (1, 5), (1, 7)} and e.columns == events.columns
 
 
 GEDCOM = """0 HEAD
