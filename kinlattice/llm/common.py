@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import spread_join
 from ..storage import Shelf, ship
 
 __all__ = ["BLANKS", "BLANK_CLASS", "Shelf", "ascii_lower", "maybe_broadcast", "ship", "spread_join", "table"]
@@ -27,17 +28,3 @@ def ascii_lower(c: Column) -> Column:
 def maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """A broadcast hint where the counted rows are within the limit; a plain (shuffled) side beyond it."""
     return F.broadcast(df) if rows <= limit else df
-
-
-#: Parts that the rows of one key are dealt to in a join that expects hot keys.
-SALTS = 8
-
-
-def spread_join(rows: DataFrame, side: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``side``, which has few rows a key, where one key may hold a third of ``rows``.
-
-    The rows of a key are dealt to SALTS parts by the hash of column ``by``, and ``side`` is given to each part.
-    """
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return dealt.join(side.withColumn("_salt", parts), [*on, "_salt"], how).drop("_salt")
