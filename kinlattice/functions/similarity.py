@@ -109,3 +109,15 @@ def year_score(a: Column, b: Column) -> Column:
     """1 if equal, .7 up to two years apart, else 0; null if either is unknown."""
     gap = F.abs(a - b)
     return F.when(gap == 0, 1.0).when(gap <= 2, 0.7).when(gap.isNotNull(), 0.0)
+
+
+def year_overlap(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
+    """Years that the other span has of this one, as a share of this one's length (one year at least)."""
+    shared = F.least(other_end, end) - F.greatest(other_start, start) + 1
+    return F.greatest(F.lit(0), shared) / F.greatest(end - start, F.lit(1))
+
+
+def archive_priority(years: Column, same_city: Column, same_locale: Column) -> Column:
+    """Fixed weights: years .5, city .3, locale .2; unknown parts count nothing."""
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    return 0.5 * F.coalesce(years, F.lit(0.0)) + 0.3 * flag(same_city) + 0.2 * flag(same_locale)

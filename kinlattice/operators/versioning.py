@@ -43,6 +43,27 @@ def merge(base: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str
     return rows.where(F.col("x").isNotNull()).select(*keys, "x.*", "conflict")
 
 
+def apply_merge(base: DataFrame, merged: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The table after a merge, and its counts (inserted, updated, deleted, conflicts) as one row.
+
+    ``merged`` is the result of ``merge``; rows in conflict stay as they are in ``base``.
+    """
+    cols = base.columns
+    rest = [c for c in cols if c not in keys]
+    pack = lambda df, s, *more: df.select(*keys, F.struct(*rest, *more).alias(s))
+    both = pack(base, "o").join(pack(merged, "m", "conflict"), list(keys), "full_outer")
+    text = lambda s: F.to_json(F.struct(*[F.col(f"{s}.{c}") for c in rest]), {"ignoreNullFields": "false"})
+    clash = F.coalesce(F.col("m.conflict"), F.lit(False))
+    stays = clash & F.col("o").isNotNull()
+    kind = F.when(clash, "conflict").when(F.col("o").isNull(), "insert").when(F.col("m").isNull(), "delete").when(text("o") != text("m"), "update")
+    rows = both.withColumn("_kind", kind)
+    count = lambda what, name: F.count_if(F.col("_kind") == what).alias(name)
+    counts = rows.agg(count("insert", "inserted"), count("update", "updated"), count("delete", "deleted"), count("conflict", "conflicts"))
+    value = lambda c: F.when(stays, F.col(f"o.{c}")).otherwise(F.col(f"m.{c}")).alias(c)
+    kept = rows.where(F.coalesce(F.col("_kind") != "delete", F.lit(True))).where(F.col("m").isNotNull() | F.col("o").isNotNull())
+    return kept.select(*keys, *(value(c) for c in rest)).select(*cols), counts
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), unchanged: Column | None = None) -> DataFrame:
     """The table after an upsert: new rows replace old ones of their key, except for the ``keep`` columns.
 

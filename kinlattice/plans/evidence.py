@@ -378,6 +378,12 @@ def _(spark, d):
     return G.communities(g.select("owner", "a", "b", "weight"), "owner")
 
 
+@query("g09_refined_communities")
+def _(spark, d):
+    g = match_graph(spark, d).withColumn("owner", F.lit(1))
+    return G.communities(g.select("owner", "a", "b", "weight"), "owner", refined=True)
+
+
 @query("g11_cycle_groups", "SELECT c_custkey AS id, c_custkey // 5 * 5 AS component FROM customer WHERE c_custkey // 5 * 5 + 4 <= (SELECT max(c_custkey) FROM customer)")
 def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("src"))

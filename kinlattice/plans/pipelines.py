@@ -53,3 +53,15 @@ def hypotheses(persons: DataFrame, least: float = 0.0) -> DataFrame:
     found = E.compose(pairs, ["a", "b"], rules).withColumn("pair", F.struct("a", "b"))
     scores = E.noisy_or(found, "pair", "rule", "direction", "weight")
     return scores.select("pair.*", "score", "n_rules", "penalty").where(F.col("score") >= least)
+
+
+def in_batches(items: list, run, canceled, size: int = 100) -> tuple[int, bool]:
+    """Calls ``run`` on ``size`` items at a time, asking ``canceled()`` before each: (items done, whether it ended early).
+
+    For actions that write: each batch is a job of its own, so what is done stays done.
+    """
+    for start in range(0, len(items), size):
+        if canceled():
+            return start, True
+        run(items[start : start + size])
+    return len(items), False

@@ -300,8 +300,8 @@ def _(spark, d):
 def _(spark, d):
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
-    years = F.greatest(F.lit(0), F.least(1900 + F.col("s_suppkey"), F.lit(1950)) - F.greatest(1850 + F.col("s_suppkey") % 40, F.lit(1900)) + 1) / F.greatest(F.lit(50), F.lit(1))
-    score = 0.5 * years + 0.3 * (F.col("s_suppkey") % 2 == 0).cast("int") + 0.2 * (F.col("c_acctbal") > 5000).cast("int")
+    years = similarity.year_overlap(F.lit(1900), F.lit(1950), 1850 + F.col("s_suppkey") % 40, 1900 + F.col("s_suppkey"))
+    score = similarity.archive_priority(years, F.col("s_suppkey") % 2 == 0, F.col("c_acctbal") > 5000)
     return both.select("s_suppkey", "c_custkey", F.round(score, 6).alias("priority"))
 
 
@@ -312,15 +312,17 @@ def _(spark, d):
 
 @query("f32_ancestor_numbers", "SELECT c_custkey, c_custkey // 2 AS parent_number, c_custkey % 2 = 0 AS is_father FROM customer WHERE c_custkey > 1")
 def _(spark, d):
-    number = F.col("c_custkey").cast("string").try_cast("long")
-    return table(spark, d, "customer").where("c_custkey > 1").select("c_custkey", F.floor(number / 2).cast("long").alias("parent_number"), (number % 2 == 0).alias("is_father"))
+    from ..functions import kinship
 
+    rows = table(spark, d, "customer").select("c_custkey", kinship.ancestor(F.col("c_custkey")).alias("a")).where("a IS NOT NULL")
+    return rows.select("c_custkey", F.col("a.child").alias("parent_number"), "a.is_father")
 
-@query("f33_inline_query", "SELECT c_custkey, c_mktsegment AS surname, 'Anna' AS given, 1800 + c_custkey % 100 AS year FROM customer")
+
+@query("f33_inline_query", "SELECT c_custkey, c_mktsegment AS surname, CASE WHEN c_custkey % 3 < 2 THEN 'Anna' END AS given, CASE WHEN c_custkey % 3 <> 1 THEN 1800 + c_custkey % 100 END AS year FROM customer")
 def _(spark, d):
-    text = F.concat_ws(" ", "c_mktsegment", F.lit("Anna"), (1800 + F.col("c_custkey") % 100).cast("string"))
-    part = lambda k: F.regexp_extract("q", r"^(\S+)(?:\s+(\D\S*))?(?:\s+(\d{4}))?$", k)
-    return table(spark, d, "customer").withColumn("q", text).select("c_custkey", part(1).alias("surname"), part(2).alias("given"), part(3).cast("long").alias("year"))
+    k = F.col("c_custkey")
+    text = F.concat_ws(" ", "c_mktsegment", F.when(k % 3 < 2, F.lit("Anna")), F.when(k % 3 != 1, (1800 + k % 100).cast("string")))
+    return table(spark, d, "customer").select("c_custkey", phonetic.inline_query(text).alias("q")).select("c_custkey", "q.*")
 
 
 @query(

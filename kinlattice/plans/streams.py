@@ -20,10 +20,15 @@ def _(spark, d):
     return S.first_within_batch(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 600)
 
 
-@query("t04_hourly_jobs", "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query(
+    "t04_hourly_jobs",
+    """WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+       k(user_id, rn, last, event_id, kept) AS (SELECT user_id, rn, ts, event_id, true FROM e WHERE rn = 1 UNION ALL
+         SELECT e.user_id, e.rn, CASE WHEN e.ts >= k.last + INTERVAL 60 MINUTE THEN e.ts ELSE k.last END, e.event_id, e.ts >= k.last + INTERVAL 60 MINUTE FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+       SELECT user_id, event_id FROM k WHERE kept""",
+)
 def _(spark, d):
-    hour = F.date_format("ts", "yyyy-MM-dd HH")
-    return table(spark, d, "events").groupBy("user_id", hour.alias("hour")).agg(F.min("event_id").alias("event_id"))
+    return S.first_within_batch(table(spark, d, "events"), ["user_id"], "ts", "event_id", 60)
 
 
 @query("t05_weekly_digest", "SELECT event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n FROM events GROUP BY ALL")

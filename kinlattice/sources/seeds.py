@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +56,68 @@ def archives(spark, path) -> DataFrame:
     return rows
 
 
+def synonyms(spark, path) -> DataFrame:
+    """(canonical, form): every form of an anchor name, itself included; ``{"anchors": [{"canonical", "synonyms": []}]}``.
+
+    Forms are trimmed and lower-case; empty ones drop, and a form of two anchors belongs to the first by name.
+    """
+    rows = _json(spark, path, "anchors array<struct<canonical: string, synonyms: array<string>>>").select(F.explode("anchors").alias("a"))
+    every = F.concat(F.array(F.col("a.canonical")), F.coalesce(F.col("a.synonyms"), F.array().cast("array<string>")))
+    forms = rows.select(F.lower(F.trim("a.canonical")).alias("canonical"), F.explode(every).alias("form")).withColumn("form", F.lower(F.trim("form")))
+    return forms.where("form <> '' AND canonical <> ''").groupBy("form").agg(F.min("canonical").alias("canonical")).select("canonical", "form")
+
+
 def rules(spark, path) -> DataFrame:
     """(pattern, rule, weight) of an export target, from JSON lines."""
     return spark.read.schema("pattern string, rule string, weight double").json(path)
 
 
+#: Sections of a rule document: what a target drops, cannot encode, and does not know the structure of.
+RULE_SCHEMA = "target string, version string, drop array<struct<pattern: string, rule: string, weight: double>>, encoding struct<charset: string, substitutes: map<string, string>>, structures array<struct<feature: string, condition: string, weight: double>>"
+
+
+def target_rules(spark, path) -> dict:
+    """The rules of an export target: tables ``drop`` and ``structures``, and ``charset`` and ``substitutes``.
+
+    ``path`` is one small curated document, JSON or (where PyYAML is installed) YAML.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if str(path).endswith((".yaml", ".yml")):
+        import yaml
+
+        text = json.dumps(yaml.safe_load(text))
+    row = spark.createDataFrame([(text,)], "t string").select(F.from_json("t", RULE_SCHEMA).alias("r")).first()["r"]
+    if row is None or row["target"] is None:
+        raise ValueError(f"{path}: no target")
+    table = lambda rows, schema: spark.createDataFrame([tuple(r) for r in rows or []], schema)
+    coding = row["encoding"]
+    return {
+        "target": row["target"], "version": row["version"], "drop": table(row["drop"], "pattern string, rule string, weight double"),
+        "structures": table(row["structures"], "feature string, condition string, weight double"),
+        "charset": coding["charset"] if coding else None, "substitutes": dict(coding["substitutes"] or {}) if coding else {},
+    }
+
+
+def seed_tables(tables: dict[str, DataFrame], keys: dict[str, list[str]], path: str) -> dict[str, int]:
+    """Writes curated tables below ``path``, a folder each, and returns how many rows were new by name.
+
+    A table that is there keeps its rows; only rows with new keys are added, so a second run adds none.
+    """
+    from py4j.protocol import Py4JError
+    from pyspark.errors import AnalysisException
+
+    added = {}
+    for name, df in tables.items():
+        new = df.dropDuplicates(keys[name])
+        try:
+            new = new.join(df.sparkSession.read.parquet(f"{path}/{name}").select(*keys[name]), keys[name], "left_anti")
+        except (AnalysisException, Py4JError):  # nothing there yet
+            pass
+        added[name] = new.count()
+        new.write.mode("append").parquet(f"{path}/{name}")
+    return added
+
+
 def trees(spark, path, schema: str = "tree_id string, category string, input_gedcom_excerpt string") -> DataFrame:
     """Scenario documents, one a file; a repeated tree_id is refused."""
     rows = _json(spark, path, schema)

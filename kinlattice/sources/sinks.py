@@ -30,3 +30,16 @@ def export(tables: dict[str, DataFrame], path: str) -> DataFrame:
 def write_text(lines: DataFrame, path: str) -> None:
     """(file, no, sub, line) as text, a folder for each file, lines in order within it."""
     lines.repartition("file").sortWithinPartitions("file", "no", "sub").select("file", F.col("line").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+
+
+def write_document(nodes: DataFrame, path: str) -> None:
+    """Whole documents as text: the lines of ``nodes`` (file, no, level, xref, tag, value) in order, a folder for each file.
+
+    Line breaks of a value become CONT lines; a file without a trailer gets one.
+    """
+    from . import gedcom
+
+    lines = gedcom.write_lines(nodes)
+    end = nodes.groupBy("file").agg(F.max("no").alias("no"), F.bool_or(F.col("tag") == "TRLR").alias("ends")).where("NOT ends")
+    trailer = end.select("file", (F.col("no") + 1).alias("no"), F.lit(0).alias("sub"), F.lit("0 TRLR").alias("line"))
+    write_text(lines.select("file", "no", "sub", "line").unionByName(trailer), path)
