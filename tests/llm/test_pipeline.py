@@ -1,8 +1,11 @@
+import hashlib
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlattice.llm import bpe
-from tests.llm.helpers import hostile_docs, write
+from kinlattice.llm import bpe, decontaminate, near_dedup
+from tests.llm.helpers import hostile_docs, prose, write
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,3 +40,28 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    names = ["kept_text", "n_lines", "n_dropped", "lang_pred", "score", "hits", "n_hit", "component_id", "kept", "n"]
+    docs = spark.createDataFrame(hostile_docs(), "doc_id long, text string, lang string, source string").withColumns({c: F.lit(99) for c in names})
+    write(spark, [(1, "one item of a few words")], "item_id long, text string", tmp_path, "benchmark")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == 99 for r in rows for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_a_text_of_megabytes(spark, tmp_path):
+    rng = random.Random(2)
+    long = "\n".join(prose(rng, 14) for _ in range(40_000))
+    rows = [(1, long, "en", "a"), (2, long + " more", "en", "a"), (3, "a few words of another text", "en", "a")]
+    assert len(long) > 2_000_000
+    path = write(spark, rows, "doc_id long, text string, lang string, source string", tmp_path, "documents")
+    write(spark, [(1, " ".join(long.split()[1000:1040]))], "item_id long, text string", tmp_path, "benchmark")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.op4_near_dedup(spark, path).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True)}
+    assert {r.doc_id: r.n_hit for r in decontaminate.op3_decontaminate(spark, path).collect()} == {1: 40, 2: 40, 3: 0}
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.op1_bpe(spark, path).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in rows}
