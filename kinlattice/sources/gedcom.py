@@ -67,15 +67,24 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", F.regexp_replace("text", "^﻿", "").alias("text"), "e.charset", "e.confidence")
 
 
-def carried(df: DataFrame, value: Column, out: str) -> DataFrame:
-    """``df`` (file, no, ...) with the last non-null ``value`` up to each line: within bins, then across them."""
-    rows = df.withColumn("_v", value).withColumn("_bin", F.floor(F.col("no") / BIN))
+def binned(df: DataFrame) -> DataFrame:
+    """``df`` with ``_bin``, the bin of each line."""
+    return df.withColumn("_bin", F.floor(F.col("no") / BIN))
+
+
+def carried(df: DataFrame, **values: Column) -> DataFrame:
+    """Binned lines, without ``_bin``, with the largest value so far of each of ``values``, up to and with each line: within bins, then across them.
+
+    What grows with the line number, as the number itself does, is so the last value.
+    """
+    rows = df.withColumns({f"_v_{k}": v for k, v in values.items()})
     inner = Window.partitionBy("file", "_bin").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    bins = rows.groupBy("file", "_bin").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("no"))).alias("_end"))
+    bins = rows.groupBy("file", "_bin").agg(*(F.max(f"_v_{k}").alias(f"_end_{k}") for k in values))
     before = Window.partitionBy("file").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(inner)).join(bins, ["file", "_bin"])
-    return rows.withColumn(out, F.coalesce("_in", "_carry")).drop("_v", "_bin", "_in", "_carry")
+    bins = bins.select("file", "_bin", *(F.max(f"_end_{k}").over(before).alias(f"_carry_{k}") for k in values))
+    rows = rows.withColumns({f"_in_{k}": F.max(f"_v_{k}").over(inner) for k in values}).join(bins, ["file", "_bin"])
+    rows = rows.withColumns({k: F.coalesce(f"_in_{k}", f"_carry_{k}") for k in values})
+    return rows.drop("_bin", *(f"_{part}_{k}" for part in ("v", "in", "carry") for k in values))
 
 
 def read_lines(texts: DataFrame) -> DataFrame:
@@ -90,32 +99,43 @@ def read_lines(texts: DataFrame) -> DataFrame:
     dealt = texts.select("file", "text").repartition(max(2, texts.sparkSession.sparkContext.defaultParallelism))
     split = dealt.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("no", "line")).where("trim(line) <> ''")
     part = lambda k: F.regexp_extract("line", LINE, k)
-    ok = F.col("line").rlike(LINE)
+    ok = part(1) != ""
     rows = split.select("file", "no", "line", F.when(ok, part(1).cast("int")).alias("level"), F.nullif(part(2), F.lit("")).alias("xref"), F.when(ok, F.upper(part(3))).alias("tag"), F.when(ok, part(4)).alias("value"))
     more = F.col("tag").isin("CONT", "CONC") | F.col("tag").isNull()
-    rows = carried(shelf.put(rows), F.when(~more, F.struct("no", "level")), "open")
-    rows = rows.withColumn("_more", more).where(~F.col("_more") | F.col("tag").isNull() | (F.col("level") == F.col("open.level") + 1)).where("open IS NOT NULL")
-    text = F.when(~F.col("_more"), F.lit("")).when(F.col("tag") == "CONC", F.coalesce("value", F.lit(""))).otherwise(F.concat(F.lit("\n"), F.coalesce("value", "line")))
-    # few lines are continued: only those are gathered
-    more_rows = rows.where("_more").groupBy("file", F.col("open.no").alias("no")).agg(F.array_sort(F.collect_list(F.struct(F.col("no").alias("at"), text.alias("t")))).alias("more"))
-    lines = rows.where("NOT _more").select("file", "no", "level", "xref", "tag", "value").join(more_rows, ["file", "no"], "left")
+    rows = shelf.put(rows)
+    # the next line tells whether a line is continued; that of a bin's last line is not known
+    following = F.lead(more).over(Window.partitionBy("file", "_bin").orderBy("no"))
+    marked = binned(rows).withColumn("_more", more).withColumn("_continued", F.coalesce(following, F.lit(True)))
+    # a line's number and its level, below 100, as one number
+    opened = carried(marked, open=F.when(~more, F.col("no").cast("long") * 100 + F.col("level")))
+    opened = shelf.put(opened.where("open IS NOT NULL"))
+    names = ["file", "no", "level", "xref", "tag", "value"]
+    text = F.when(F.col("tag") == "CONC", F.coalesce("value", F.lit(""))).otherwise(F.concat(F.lit("\n"), F.coalesce("value", "line")))
+    taken = opened.where("_more").where(F.col("tag").isNull() | (F.col("level") == F.pmod("open", F.lit(100)) + 1))
+    more_rows = taken.groupBy("file", F.floor(F.col("open") / 100).cast("int").alias("no")).agg(F.array_sort(F.collect_list(F.struct(F.col("no").alias("at"), text.alias("t")))).alias("more"))
+    # few lines are continued: only those are gathered and joined
+    lines = opened.where("NOT _more AND _continued").select(*names).join(more_rows, ["file", "no"], "left")
     tail = F.array_join(F.transform("more", lambda m: m["t"]), "")
     value = F.when(F.col("more").isNull(), F.col("value")).when(F.col("value").isNull() & (tail == ""), F.lit(None)).otherwise(F.concat(F.coalesce("value", F.lit("")), tail))
-    return shelf.put(lines.select("file", "no", "level", "xref", "tag", value.alias("value")))
+    alone = opened.where("NOT _more AND NOT _continued").select(*names)
+    out = shelf.put(alone.unionByName(lines.withColumn("value", value).select(*names)))
+    shelf.drop(rows, opened)
+    return out
 
 
 def read_records(lines: DataFrame) -> DataFrame:
     """``lines`` with ``root`` (line of the level-0 record) and ``parent``.
 
-    The parent is the nearest line above with a lower level, also where levels jump. Written like the lines.
+    The parent is the nearest line above with a lower level, also where levels jump. Lines above a file's
+    first record are dropped. Written like the lines.
     """
-    rows = carried(lines, F.when(F.col("level") == 0, F.col("no")), "root").where("root IS NOT NULL")
-    above = Window.partitionBy("file", "root").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     deepest = lines.agg(F.max("level")).first()[0] or 0
-    last = [F.last(F.when(F.col("level") == k, F.col("no")), ignorenulls=True).over(above) for k in range(max(1, deepest))]
-    rows = rows.withColumn("_last", F.array(*last))
-    lower = F.slice("_last", F.lit(1), F.col("level"))
-    return Shelf(lines.sparkSession).put(rows.withColumn("parent", F.when(F.col("level") > 0, F.array_max(lower))).drop("_last"))
+    # the last line of each level so far; those of a former record are above the root, so never the nearest
+    last = {f"_last{k}": F.when(F.col("level") == k, F.col("no")) for k in range(max(1, deepest))}
+    rows = carried(binned(lines), **last).where("_last0 IS NOT NULL")
+    lower = F.slice(F.array(*last), F.lit(1), F.col("level"))
+    parent = F.when(F.col("level") > 0, F.array_max(lower))
+    return Shelf(lines.sparkSession).put(rows.select(*lines.columns, F.col("_last0").alias("root"), parent.alias("parent")))
 
 
 def documents(nodes: DataFrame) -> DataFrame:

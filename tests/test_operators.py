@@ -277,6 +277,50 @@ def test_level_jumps_and_lost_continuations(spark):
     assert nodes[1].value == "a" and 3 not in nodes and nodes[5].parent == 4 and nodes[6].parent == 4 and nodes[7].parent == 4
 
 
+def _plain_records(text: str) -> dict:
+    """Lines folded and nested one after the other: {no: (level, tag, value, root, parent)}."""
+    import re
+
+    from kinlattice.sources import gedcom
+
+    out, opened, above = {}, None, {}
+    for no, line in enumerate(re.split(r"\r\n|\n|\r", text)):
+        m = re.match(gedcom.LINE, line)
+        if not line.strip():
+            continue
+        tag = m and m.group(3).upper()
+        if m is None or tag in ("CONT", "CONC"):
+            if opened is not None and (m is None or int(m.group(1)) == out[opened][0] + 1):
+                tail = line if m is None else m.group(4) or ""
+                out[opened][2] += tail if tag == "CONC" else "\n" + tail
+            continue
+        level = int(m.group(1))
+        out[no] = [level, tag, m.group(4) or "", None, None]
+        opened = no
+    for no, row in out.items():
+        above[row[0]] = no
+        row[3] = above.get(0)
+        row[4] = max((n for k, n in above.items() if k < row[0]), default=None)
+    return {no: tuple(row) for no, row in out.items() if row[3] is not None}
+
+
+@pytest.mark.parametrize("size", [1, 3, 20_000])
+def test_records_do_not_depend_on_bins(spark, monkeypatch, size):
+    import random
+
+    from kinlattice.sources import gedcom
+
+    rng = random.Random(7)
+    line = lambda: rng.choice(["0 HEAD", "0 @I1@ INDI", "1 NOTE a", "1 NOTE", "2 CONT b", "2 CONC c", "1 CONT d", "2 CONC", "3 DATE e", "2 SOUR", "stray", "", "1 cont f"])
+    texts = {f"f{i}": rng.choice(["\n", "\r\n"]).join(line() for _ in range(40)) for i in range(6)} | {"none": "", "blank": "\n\n", "early": "1 NOTE a\n2 CONT b\nstray"}
+    monkeypatch.setattr(gedcom, "BIN", size)
+    nodes = gedcom.read_records(gedcom.read_lines(spark.createDataFrame([*texts.items(), ("null", None)], "file string, text string")))
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.file, {})[r.no] = (r.level, r.tag, r.value, r.root, r.parent)
+    assert got == {f: rows for f, t in texts.items() if (rows := _plain_records(t))}
+
+
 def test_registries(spark):
     reg = extensions.Registry("validator")
     reg.add("bad", lambda t: 1 / 0)
