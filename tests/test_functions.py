@@ -69,6 +69,11 @@ def test_coordinates(spark):
     assert [r[0] for r in df.select(phonetic.coordinate(F.col("v"))).collect()] == [52.5, -13.25, None, None, None, -12.5]
 
 
+def test_longitudes_as_written(spark):
+    df = spark.createDataFrame([("E 181",), ("w200.5",), ("E x",), ("N 91",), ("-181",)], "v string")
+    assert [r[0] for r in df.select(phonetic.coordinate(F.col("v"))).collect()] == [181.0, -200.5, None, None, None]
+
+
 @pytest.mark.parametrize(
     ("text", "lower", "upper", "qualifier"),
     [
