@@ -173,3 +173,12 @@ def test_nearest(spark, tmp_path):
         for r in out.orderBy("q", "rank").collect():
             got.setdefault(r.q, []).append((r.c, round(r.score, 6)))
         assert got == want and len(want) == 7
+
+
+def test_archive_scores(spark, tmp_path):
+    write(spark, tmp_path, "events", [(1, 7, "signup", None), (2, 7, "purchase", 5.0), (3, 7, "view", 9.0), (4, 8, "signup", 5.0), (5, 9, "signup", None)], "event_id long, user_id long, event_type string, value double")
+    write(spark, tmp_path, "customer", [(7, 1), (8, 1), (9, 2)], "c_custkey long, c_nationkey int")
+    write(spark, tmp_path, "supplier", [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 1, -1.0), (5, 3, 1.0), (3, 1, 1.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    out = catalog.QUERIES["j17_archive_scores"](spark, str(tmp_path))
+    # an unknown value is the last
+    assert sorted((r.s_suppkey, r.event_id) for r in out.collect()) == [(1, 2), (2, 2), (3, 2)]
