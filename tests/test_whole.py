@@ -182,3 +182,22 @@ def test_archive_scores(spark, tmp_path):
     out = catalog.QUERIES["j17_archive_scores"](spark, str(tmp_path))
     # an unknown value is the last
     assert sorted((r.s_suppkey, r.event_id) for r in out.collect()) == [(1, 2), (2, 2), (3, 2)]
+
+
+def test_expanded_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice("abc") for _ in range(rng.randint(0, 2))] if k % 9 else None) for k in range(80)]
+    rows += [(5, ["z"]), (6, ["z"])]  # repeated keys
+    sets = {}
+    for k, c in rows:
+        sets.setdefault(k, set()).update(c or [""])
+    want = sorted((a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b])
+    df = spark.createDataFrame(rows, "id long, codes array<string>")
+    texts = spark.createDataFrame([(k, " ".join(c) if c is not None else None) for k, c in rows], "id long, t string")
+    words = sorted((a, b) for a, b in want if (sets[a] & sets[b]) - {""})
+    monkeypatch.setattr(matching, "CHUNK", 7)
+    for ids in (1000, 0):  # classes broadcast, and joined
+        monkeypatch.setattr(matching, "BROADCAST_IDS", ids)
+        assert sorted(tuple(r) for r in matching.blocked_pairs(df, "id", "codes").collect()) == want
+        out = matching.token_pairs(texts, "id", "t")
+        assert sorted(tuple(r) for r in out.collect()) == words
