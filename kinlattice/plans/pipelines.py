@@ -41,8 +41,14 @@ def people(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def hypotheses(persons: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, score, n_rules, penalty) for every pair that shares a surname code: rules set-wise, then one aggregation."""
-    pairs = M.attach(M.blocked_pairs(persons, "id", "codes"), persons, persons, "id")
+    """(a, b, score, n_rules, penalty) for every pair that shares a surname code: rules set-wise, then one aggregation.
+
+    Rules see each pair of people alike in codes, birth and sex once.
+    """
+    return M.scored_people(persons, lambda pairs: _hypotheses(pairs, least), ["codes", "birth_year", "birth_place", "sex"])
+
+
+def _hypotheses(pairs: DataFrame, least: float) -> DataFrame:
     kind = F.lit("same_person")
     rules = [
         E.surname_rule(F.col("codes_a"), F.col("codes_b")),

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from kinlattice import catalog
 from kinlattice.functions import similarity
 from kinlattice.operators import matching
@@ -201,3 +203,17 @@ def test_expanded_pairs(spark, monkeypatch):
         assert sorted(tuple(r) for r in matching.blocked_pairs(df, "id", "codes").collect()) == want
         out = matching.token_pairs(texts, "id", "t")
         assert sorted(tuple(r) for r in out.collect()) == words
+
+
+def test_classes_are_scored_once(spark):
+    rows = [(k, f"G{k % 2}", "S", 1800, "T", "M", ["x"] if k % 4 else None) for k in range(40)]
+    people = spark.createDataFrame(rows, "id long, given string, surname string, birth_year int, birth_place string, sex string, codes array<string>")
+    seen = []
+
+    def score(pairs):
+        seen.append(pairs.count())
+        return pairs.select("a", "b", (F.col("given_a") == F.col("given_b")).alias("same"))
+
+    got = sorted(tuple(r) for r in matching.scored_people(people, score).collect())
+    assert got == [(a, b, a % 2 == b % 2) for a, b in itertools.combinations(range(40), 2) if (a % 4 > 0) == (b % 4 > 0)]
+    assert seen == [4]  # the classes are G0 and G1 with the code, G0 without
