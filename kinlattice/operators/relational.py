@@ -111,4 +111,5 @@ def spread_join(rows: DataFrame, side: DataFrame, on: Sequence[str], by: str, ho
     """
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    return dealt.join(side.withColumn("_salt", parts), [*on, "_salt"], how).drop("_salt")
+    # a side is larger by its parts than the plan knows: never broadcast unseen
+    return dealt.join(side.withColumn("_salt", parts).hint("merge"), [*on, "_salt"], how).drop("_salt")

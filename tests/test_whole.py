@@ -217,3 +217,37 @@ def test_classes_are_scored_once(spark):
     got = sorted(tuple(r) for r in matching.scored_people(people, score).collect())
     assert got == [(a, b, a % 2 == b % 2) for a, b in itertools.combinations(range(40), 2) if (a % 4 > 0) == (b % 4 > 0)]
     assert seen == [4]  # the classes are G0 and G1 with the code, G0 without
+
+
+def test_safe_merge_by_levels(spark, monkeypatch):
+    rng = random.Random(6)
+    person = lambda k: (k, rng.choice(["A", "a ", "B", None]), rng.choice(["Berg", "Bergh", "Stone", None]), rng.choice([1800, 1801, 1803, None]), rng.choice(["T", "t", None]), rng.choice(["M", "F", "U", None]))
+    one, two = [person(k) for k in range(30)], [person(k) for k in range(100, 130)]
+    word = lambda v: None if v is None else v.strip().lower()
+    code = lambda s: "" if s is None else s[0]
+    pairs = []
+    for x, y in itertools.product(one, two):
+        n = sum(x[k] is not None and word(x[k]) == word(y[k]) for k in (1, 2, 4, 5)) + (None not in (x[3], y[3]) and abs((x[3] or 0) - (y[3] or 0)) <= 1)
+        if code(x[2]) == code(y[2]) and {x[5], y[5]} != {"M", "F"} and n >= 2:
+            pairs.append((-n, x[0], y[0]))
+    left, right, want = set(), set(), []
+    for n, a, b in sorted(pairs):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            want.append((a, b, -float(n)))
+    tables = [spark.createDataFrame(t, "id long, given string, surname string, birth_year int, birth_place string, sex string") for t in (one, two)]
+    sizes, assign = [], matching.assign
+    monkeypatch.setattr(matching, "assign", lambda p: (sizes.append(p.count()), assign(p))[1])
+    assert sorted(tuple(r) for r in matching.safe_merge(*tables).collect()) == sorted(want)
+    assert len({n for *_, n in want}) > 2 and len(sizes) > 2 and sum(sizes) < len(pairs)
+
+
+def test_no_broadcast_by_packed_size(spark):
+    from kinlattice.operators.relational import spread_join
+    from kinlattice.storage import Shelf
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wide = Shelf(spark).put(spark.range(200_000).select("id", F.repeat(F.lit("x"), 1000).alias("t")))  # 200 MB of rows, a small file
+    assert "BroadcastHashJoin" not in plan(spark.range(10_000_000).join(wide, "id"))
+    assert "BroadcastHashJoin" not in plan(spread_join(spark.range(10_000_000), spark.range(100), ["id"], "id"))
