@@ -43,6 +43,11 @@ def ship(spark: SparkSession) -> None:
     sc._kinlattice_shipped = True
 
 
+#: Bytes in memory that a byte of a stored file may be. Repeated texts and sorted ids are packed so well that
+#: files below Spark's limit for broadcasts would fill the driver; real sizes are known after a shuffle.
+UNPACKED = 100.0
+
+
 class Shelf:
     """Tables written to the shared folder.
 
@@ -52,6 +57,8 @@ class Shelf:
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}"
         self.count = 0
+        if float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1.0:
+            spark.conf.set("spark.sql.sources.fileCompressionFactor", str(UNPACKED))
         path, fs = self._at(self.base)
         fs.deleteOnExit(path)  # when the JVM ends
         atexit.register(self._quiet_drop)
