@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
+import random
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import Shelf, ship
+from . import modularity as M
 from .relational import spread_join
 
 #: Fixed depth cap of pedigree walks; it also ends walks in cyclic data.
@@ -167,42 +171,32 @@ def greedy_modularity(edges: list[tuple], nodes: list, resolution: float = 1.0)
 
     For one group that fits a task. Clusters are named by their least member.
     """
-    label = {n: n for n in nodes}
-    total = sum(w for _, _, w in edges)
-    if not total:
-        return label
-    degree = dict.fromkeys(nodes, 0.0)
-    between: dict = {n: {} for n in nodes}
-    for a, b, w in edges:
-        degree[a] += w
-        degree[b] += w
-        between[a][b] = between[a].get(b, 0.0) + w
-        between[b][a] = between[b].get(a, 0.0) + w
-    gain = lambda a, b: between[a][b] / total - resolution * degree[a] * degree[b] / (2 * total * total)
-    members = {n: [n] for n in nodes}
-    rank = {n: k for k, n in enumerate(sorted(nodes, key=str))}
-    entry = lambda a, b: (-round(gain(a, b), 12), *sorted((rank[a], rank[b])), a, b)
-    heap = [entry(a, b) for a in between for b in between[a] if rank[a] < rank[b]]
-    heapq.heapify(heap)
-    while heap:
-        # entries of clusters that have changed are stale: the right ones were pushed when they changed
-        top = heapq.heappop(heap)
-        a, b = top[3], top[4]
-        if a not in between or b not in between.get(a, ()) or top != entry(a, b):
-            continue
-        if top[0] >= 0:
-            break
-        a, b = sorted((a, b), key=rank.get)
-        for c, w in between.pop(b).items():
-            between[c].pop(b)
-            if c != a:
-                between[a][c] = between[a].get(c, 0.0) + w
-                between[c][a] = between[a][c]
-        degree[a] += degree.pop(b)
-        members[a] += members.pop(b)
-        for c in between[a]:
-            heapq.heappush(heap, entry(a, c))
-    return {n: min(m) for m in members.values() for n in m}
+    return _clustered(edges, nodes, resolution)
+
+
+def _clustered(edges: list[tuple], nodes: list, resolution: float, seed: int | None = None) -> dict:
+    where = {x: k for k, x in enumerate(nodes)}
+    a, b = (np.array([where[e[k]] for e in edges], dtype=np.int32) for k in (0, 1))
+    found = _clusters(nodes, a, b, np.array([e[2] for e in edges], dtype=float), resolution, seed)
+    return dict(zip(nodes, (nodes[k] for k in found), strict=True))
+
+
+def _clusters(names: list, a, b, weight, resolution: float, seed: int | None = None):
+    """For each of ``names`` the place of its cluster's least one; refined if there is a seed. ``a`` and ``b`` are places."""
+    n = len(names)
+    by = sorted(range(n), key=lambda k: str(names[k]))  # this order decides ties
+    at, key = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+    at[by] = key[sorted(range(n), key=names.__getitem__)] = np.arange(n)
+    key, a, b = key[by], at[a], at[b]
+    g = M.Graph(n, a, b, weight)
+    cluster = M.named(M.merged(g, resolution), key)
+    if seed is not None and g.total:
+        order = list(range(n))
+        random.Random(seed).shuffle(order)
+        cluster = M.moved(g, cluster, resolution, order)
+        inner = cluster[a] == cluster[b]
+        cluster = M.named(M.connected(n, a[inner], b[inner]), key)
+    return np.array(by)[cluster[at]]
 
 
 def modularity(edges: list[tuple], cluster: dict, resolution: float = 1.0) -> float:
@@ -221,50 +215,7 @@ def refined_modularity(edges: list[tuple], nodes: list, resolution: float = 1.0,
     Nodes move one by one, in a seeded order, to the neighbouring cluster of largest gain until none moves;
     clusters that fall apart are split, which never lowers modularity. Named by the least member.
     """
-    import random
-
-    cluster, order = greedy_modularity(edges, nodes, resolution), sorted(nodes, key=str)
-    total = sum(w for _, _, w in edges)
-    if not total:
-        return cluster
-    near: dict = {n: {} for n in nodes}
-    for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    own = {n: sum(near[n].values()) for n in nodes}
-    size: dict = {}
-    for n in nodes:
-        size[cluster[n]] = size.get(cluster[n], 0.0) + own[n]
-    random.Random(seed).shuffle(order)
-    moved = True
-    while moved:
-        moved = False
-        for n in order:
-            to: dict = {}
-            for m, w in near[n].items():
-                if m != n:
-                    to[cluster[m]] = to.get(cluster[m], 0.0) + w
-            here = cluster[n]
-            size[here] -= own[n]
-            gain = lambda c: to.get(c, 0.0) / total - resolution * own[n] * size.get(c, 0.0) / (2 * total * total)  # noqa: B023, E731
-            best = max(sorted(to, key=str), key=gain, default=here)
-            if best != here and gain(best) > gain(here) + 1e-12:
-                cluster[n], moved = best, True
-            size[cluster[n]] = size.get(cluster[n], 0.0) + own[n]
-    out: dict = {}
-    for n in sorted(nodes, key=str):
-        if n in out:
-            continue
-        part, todo = [n], [n]
-        seen = {n}
-        while todo:
-            for m in near[todo.pop()]:
-                if m not in seen and cluster[m] == cluster[n]:
-                    seen.add(m)
-                    todo.append(m)
-                    part.append(m)
-        out |= dict.fromkeys(part, min(part))
-    return out
+    return _clustered(edges, nodes, resolution, seed)
 
 
 def communities(edges: DataFrame, group: str, resolution: float = 1.0, refined: bool = False) -> DataFrame:
@@ -273,23 +224,29 @@ def communities(edges: DataFrame, group: str, resolution: float = 1.0, refined:
     ``edges``: (group, a, b, weight). Modularity never joins two components, so each is a task of its own.
     """
     ship(edges.sparkSession)
+    edges = Shelf(edges.sparkSession).put(edges.select(group, "a", "b", F.col("weight").cast("double").alias("weight")))
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     comp = components(ids, edges.select("a", "b"))
     # one component is one task, but its total weight is the group's
     weight = edges.groupBy(group).agg(F.sum("weight").alias("_total"))
     dealt = edges.join(comp.withColumnRenamed("id", "a"), "a").join(weight, group)
-
-    def cluster(rows):
-        import pandas as pd
-
-        pairs = list(zip(rows["a"].tolist(), rows["b"].tolist(), rows["weight"].tolist(), strict=True))
-        scale = float(rows["_total"].iloc[0]) / sum(w for _, _, w in pairs)
-        names = sorted({x for a, b, _ in pairs for x in (a, b)})
-        found = (refined_modularity if refined else greedy_modularity)(pairs, names, resolution / scale)
-        return pd.DataFrame({"g": [rows[group].iloc[0]] * len(names), "id": names, "cluster": [found[n] for n in names]})
-
-    kind, gid = dict(edges.dtypes)[group], dict(edges.dtypes)["a"]
-    out = dealt.groupBy(group, "component").applyInPandas(cluster, f"g {kind}, id {gid}, cluster {gid}")
+    kinds = dict(edges.dtypes)
+
+    def cluster(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a component may have millions of edges: only their ends and weights are kept
+        kept = [(x.column("a"), x.column("b"), x.column("weight"), x.column("_total")[0].as_py()) for x in batches]
+        total, kind = kept[0][3], kept[0][0].type
+        w = pa.concat_arrays([x[2] for x in kept]).to_numpy()
+        ends = pa.concat_arrays([x[k] for k in (0, 1) for x in kept])
+        del kept
+        ends = ends.dictionary_encode()
+        names, codes = ends.dictionary.to_pylist(), ends.indices.to_numpy()
+        del ends
+        found = _clusters(names, codes[: len(w)], codes[len(w) :], w, resolution * float(w.sum()) / total, 42 if refined else None)
+        columns = [pa.array([key[0].as_py()] * len(names), key[0].type), pa.array(names, kind), pa.array([names[k] for k in found], kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "cluster"])
+
+    out = dealt.groupBy(group, "component").applyInArrow(cluster, f"g {kinds[group]}, id {kinds['a']}, cluster {kinds['a']}")
     return out.withColumnRenamed("g", group)
 
 

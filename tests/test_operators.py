@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import defaultdict
 from datetime import date, datetime
 
@@ -108,6 +109,46 @@ def test_greedy_modularity(spark):
     assert got[1, 104] == 101 and got[1, 105] == 105 and got[2, 208] == 205 and len(got) == 16
 
 
+def test_greedy_modularity_equals_its_definition():
+    rng = random.Random(6)
+    for trial in range(40):
+        n, resolution = rng.choice([6, 14, 25]), rng.choice([0.7, 1.0, 1.6])
+        nodes = [f"n{k}" for k in range(n)] if trial % 2 else list(range(n))
+        edges = [(*rng.sample(nodes, 2), float(rng.randint(1, 3))) for _ in range(rng.choice([n // 2, 2 * n, 5 * n]))]
+        total, degree, between, members = sum(w for *_, w in edges), dict.fromkeys(nodes, 0.0), {}, {x: [x] for x in nodes}
+        for a, b, w in edges:
+            degree[a], degree[b], pair = degree[a] + w, degree[b] + w, tuple(sorted((a, b), key=str))
+            between[pair] = between.get(pair, 0.0) + w
+        while between:
+            gain = lambda p: round(between[p] / total - resolution * degree[p[0]] * degree[p[1]] / (2 * total * total), 12)  # noqa: B023, E731
+            a, b = min(between, key=lambda p: (-gain(p), str(p[0]), str(p[1])))
+            if gain((a, b)) <= 0:
+                break
+            degree[a], members[a], before, between = degree[a] + degree[b], members[a] + members.pop(b), between, {}
+            for p, w in before.items():
+                p = tuple(sorted({a if x == b else x for x in p}, key=str))
+                if len(p) == 2:
+                    between[p] = between.get(p, 0.0) + w
+        assert graph.greedy_modularity(edges, nodes, resolution) == {x: min(m) for m in members.values() for x in m}
+
+
+def peak_bytes(f, edges, nodes):
+    tracemalloc.start()
+    try:
+        f(edges, nodes)
+        return tracemalloc.get_traced_memory()[1] / len(edges)
+    finally:
+        tracemalloc.stop()
+
+
+def hubs(rng, n=20, leaves=600):
+    return [(h, 100 + k, float(rng.randint(20, 50))) for k in range(leaves) for h in range(n)], [*range(n), *range(100, 100 + leaves)]
+
+
+def test_greedy_modularity_of_hubs_is_small():
+    assert peak_bytes(graph.greedy_modularity, *hubs(random.Random(5))) < 250
+
+
 def test_assignment_equals_a_global_pass(spark):
     rng = random.Random(8)
     rows = [(a, b, round(rng.random(), 1)) for a in range(40) for b in rng.sample(range(100, 140), 2)]
