@@ -11,6 +11,8 @@ from kinlattice.operators import graph, quality, versioning
 from kinlattice.plans import pipelines
 from kinlattice.sources import gedcom, seeds, sinks
 
+from .test_operators import hubs, peak_bytes
+
 TEXT = "0 HEAD\n1 CHAR UTF-8\n0 @I1@ INDI\n1 NAME A /B/\n1 NOTE one\n2 CONT two"
 
 
@@ -100,6 +102,13 @@ def test_refined_communities(spark):
             assert seen == part and c == min(part)
 
 
+def test_refined_communities_of_hubs_are_small():
+    edges, nodes = hubs(random.Random(5))
+    assert peak_bytes(graph.refined_modularity, edges, nodes) < 250
+    refined, greedy = graph.refined_modularity(edges, nodes), graph.greedy_modularity(edges, nodes)
+    assert graph.modularity(edges, refined) >= graph.modularity(edges, greedy) - 1e-12
+
+
 def test_batches_end_when_canceled():
     done = []
     assert pipelines.in_batches(list(range(250)), done.extend, lambda: False) == (250, False) and done == list(range(250))
