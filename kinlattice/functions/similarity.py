@@ -45,6 +45,110 @@ def token_set(a: str | None, b: str | None) -> float | None:
     return max(best, ratio(common, one), ratio(common, two)) if common else best
 
 
+class TokenBlock:
+    """Texts that are compared with one text at a time: all of ``token_set`` for one of them in a few array steps.
+
+    Both sides of a pair begin with their common words, so only the rests need a common subsequence. Texts of
+    the block without the common words are kept as one matrix of characters for each set of common words.
+    """
+
+    def __init__(self, texts):
+        import numpy as np
+
+        self.words = [frozenset(t.strip().lower().split()) for t in texts]
+        self.empty = np.array([not w for w in self.words], dtype=bool)
+        holders: dict = {}
+        for k, words in enumerate(self.words):
+            for w in words:
+                holders.setdefault(w, []).append(k)
+        self.holders = {w: np.array(at) for w, at in holders.items()}
+        self.code = {c: k for k, c in enumerate(sorted({c for w in holders for c in w} | {" "}), 1)}
+        self.rests: dict = {}
+
+    def rest(self, common: frozenset):
+        """(row of each text or -1, characters by place and row with their tree, lengths, texts) of the texts that hold ``common``, without it."""
+        import numpy as np
+
+        if common not in self.rests:
+            at = sorted(set.intersection(*(set(self.holders[w].tolist()) for w in common))) if common else list(range(len(self.words)))
+            texts = [" ".join(sorted(self.words[k] - common)) for k in at]
+            row, sizes = np.full(len(self.words), -1), np.array([len(t) for t in texts])
+            row[at] = np.arange(len(at))
+            codes = np.zeros((sizes.max(initial=0), len(at)), dtype=np.intp)
+            for k, t in enumerate(texts):
+                codes[: len(t), k] = [self.code[c] for c in t]
+            # texts that begin alike share the steps of their beginnings
+            node, steps = np.zeros(len(at), dtype=np.intp), []
+            for place in codes:
+                some, node = np.unique(node * (len(self.code) + 1) + place, return_inverse=True)
+                steps.append(divmod(some, len(self.code) + 1))
+            self.rests[common] = row, (codes, steps, node), sizes, texts
+        return self.rests[common]
+
+    def ratios(self, text: str, least: float, always):
+        """``token_set`` of ``text`` with each text of the block; what is certainly below ``least`` may be 0 unless ``always``."""
+        import numpy as np
+
+        words = frozenset(text.strip().lower().split())
+        if not words:
+            return self.empty.astype(float)
+        shared = sorted(w for w in words if w in self.holders)
+        out = np.zeros(len(self.words))
+        if len(shared) > 62:
+            out[:] = [token_set(text, " ".join(w)) for w in self.words]
+            return out
+        held = np.zeros(len(self.words), dtype=np.int64)
+        for k, w in enumerate(shared):
+            held[self.holders[w]] |= 1 << k
+        for mask in (np.flatnonzero(np.bincount(held)) if len(shared) < 12 else np.unique(held)).tolist():
+            at = np.flatnonzero(held == mask)
+            common = frozenset(w for k, w in enumerate(shared) if mask >> k & 1)
+            mine = " ".join(sorted(words - common))
+            row, codes, sizes, texts = self.rest(common)
+            where = row[at]
+            n, m, c = sizes[where], len(mine), len(" ".join(common))
+            head = c + 1 if common else 0  # the common words and a space
+            whole = bool(common) & ((n == 0) | (m == 0))
+            plain = np.maximum(2.0 * c / (c + head + m), 2.0 * c / (c + head + n)) if common else np.zeros(len(at))
+            most = np.maximum(2.0 * (head + np.minimum(n, m)) / (2 * head + m + n), plain)
+            todo = ~whole & ((most >= least - 1e-9) | always[at])
+            found = np.zeros(len(at))
+            if todo.any():
+                some = where[todo]
+                length = self._lcs(mine, codes, texts, some)
+                found[todo] = np.maximum(2.0 * (head + length) / (2 * head + m + n[todo]), plain[todo])
+            found[whole] = 1.0
+            out[at] = found
+        return out
+
+    def _lcs(self, mine: str, codes, texts, some):
+        """As ``lcs``, for all rows ``some`` of a matrix at once."""
+        import numpy as np
+
+        if len(mine) > 64:
+            return np.array([lcs(mine, texts[k]) for k in some.tolist()])
+        codes, steps, node = codes
+        table = np.zeros(len(self.code) + 1, dtype=np.uint64)
+        for k, c in enumerate(mine):
+            if c in self.code:
+                table[self.code[c]] |= np.uint64(1 << k)
+        full = np.uint64((1 << len(mine)) - 1)
+        every = 8 * len(some) > codes.shape[1]
+        if every:
+            left = np.full(1, full)
+            for up, place in steps:
+                left = left[up]
+                hit = left & table[place]
+                left = (left + hit) | (left - hit)
+        else:
+            left = np.full(len(some), full)
+            for place in codes[:, some]:
+                hit = left & table[place]
+                left = (left + hit) | (left - hit)
+        length = len(mine) - np.bitwise_count(left & full).astype(np.int64)
+        return length[node[some]] if every else length
+
+
 def _pairwise(f, name):
     @F.pandas_udf(T.DoubleType())
     def run(a, b):

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinlattice import catalog
@@ -156,6 +157,35 @@ def test_source_pairs(spark):
     assert any(not words(a) & words(b) for a, b, _ in want)
 
 
+def test_token_block_equals_the_ratio_of_two():
+    rng = random.Random(12)
+    words = ["land", "a", "abc", "cab", "östra", "x" * 40, "y" * 30]
+    texts = [t for t in SLIPS if t is not None] + [" ".join(rng.choice(words) if rng.random() < 0.6 else "".join(rng.choice("abcÄ#") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    block, always = similarity.TokenBlock(texts), np.arange(len(texts)) % 2 == 0
+    for x in texts:
+        for k, got in enumerate(block.ratios(x, 0.7, always)):
+            want = similarity.token_set(x, texts[k])
+            assert got == want or (max(got, want) < 0.7 and not always[k])
+
+
+def test_similar_texts_from_keys_and_from_blocks(spark):
+    texts = {k: t for k, t in enumerate(SLIPS[:-1] + [f"Supplier#{k:05d}, Land {k % 7}" for k in range(300)]) if t is not None}
+    kinds = spark.createDataFrame(list(texts.items()), "cls long, text string")
+    for nested in (False, True):
+        keys, blocks = ({(r.x, r.y): r.score for r in matching.similar_texts(kinds, 0.8, nested, dense).collect()} for dense in (0.0, 1e9))
+        assert keys == blocks and len(keys) > 40_000
+
+
+def test_source_pairs_of_copies(spark):
+    # three classes of copies: one pair of classes is scored, however many copies there are
+    rows = [(k, "red bolt", [f"b{k % 3}"], "LARGE") for k in range(600)]
+    sources = spark.createDataFrame(rows, "id long, title string, authors array<string>, abbreviation string")
+    got = {(r.a, r.b) for r in matching.source_pairs(sources, "id", 0.85).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(600), 2) if a % 3 == b % 3}
+    kinds, _ = matching.classes(sources, "id", ["title", "authors", "abbreviation"])
+    assert kinds.count() == 3
+
+
 def test_nearest(spark, tmp_path):
     rng = random.Random(4)
     rows = [(k, [float(rng.randint(-3, 3)) for _ in range(4)]) for k in range(220)] + [(300, [0.0] * 4), (350, [1.0, 2.0]), (351, [2.0, 4.0]), (352, [])]
