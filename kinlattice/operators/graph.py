@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .relational import spread_join
 MAX_DEPTH = 50
 #: Rows of a graph that one task takes when rounds over the whole of it have left no more.
 LOCAL_ROWS = 300_000
+#: Edges of a component in one row at most, where edges move to the component's task.
+PACKED = 128
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -176,26 +179,34 @@ def greedy_modularity(edges: list[tuple], nodes: list, resolution: float = 1.0)
 
 def _clustered(edges: list[tuple], nodes: list, resolution: float, seed: int | None = None) -> dict:
     where = {x: k for k, x in enumerate(nodes)}
-    a, b = (np.array([where[e[k]] for e in edges], dtype=np.int32) for k in (0, 1))
-    found = _clusters(nodes, a, b, np.array([e[2] for e in edges], dtype=float), resolution, seed)
+    columns = [np.fromiter((where[e[k]] for e in edges), np.int32, len(edges)) for k in (0, 1)]
+    columns.append(np.fromiter((e[2] for e in edges), float, len(edges)))
+    found = _clusters(nodes, columns, resolution, seed)
     return dict(zip(nodes, (nodes[k] for k in found), strict=True))
 
 
-def _clusters(names: list, a, b, weight, resolution: float, seed: int | None = None):
-    """For each of ``names`` the place of its cluster's least one; refined if there is a seed. ``a`` and ``b`` are places."""
+def _clusters(names: list, edges: list, resolution: float, seed: int | None = None):
+    """For each of ``names`` the place of its cluster's least one; refined if there is a seed.
+
+    ``edges``: two arrays of places and one of weights. The list is emptied, as nothing needs them once the graph is made.
+    """
     n = len(names)
     by = sorted(range(n), key=lambda k: str(names[k]))  # this order decides ties
     at, key = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
     at[by] = key[sorted(range(n), key=names.__getitem__)] = np.arange(n)
-    key, a, b = key[by], at[a], at[b]
+    key = key[by]
+    a, b, weight = edges
+    edges.clear()
+    for ends in (a, b):
+        np.take(at, ends, out=ends, mode="clip")  # in place
     g = M.Graph(n, a, b, weight)
+    del a, b, ends, weight
     cluster = M.named(M.merged(g, resolution), key)
     if seed is not None and g.total:
         order = list(range(n))
         random.Random(seed).shuffle(order)
         cluster = M.moved(g, cluster, resolution, order)
-        inner = cluster[a] == cluster[b]
-        cluster = M.named(M.connected(n, a[inner], b[inner]), key)
+        cluster = M.named(M.connected(g, cluster), key)
     return np.array(by)[cluster[at]]
 
 
@@ -222,31 +233,51 @@ def communities(edges: DataFrame, group: str, resolution: float = 1.0, refined:
     """(group, id, cluster) by greedy modularity, ``refined`` by moves of single nodes, within each connected component of each group.
 
     ``edges``: (group, a, b, weight). Modularity never joins two components, so each is a task of its own.
+    Edges move and are sorted by component in rows of up to PACKED, and become arrays batch by batch.
     """
     ship(edges.sparkSession)
-    edges = Shelf(edges.sparkSession).put(edges.select(group, "a", "b", F.col("weight").cast("double").alias("weight")))
+    edges = Shelf(edges.sparkSession).put(edges.select(F.col(group).alias("g"), "a", "b", F.col("weight").cast("double").alias("weight")))
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     comp = components(ids, edges.select("a", "b"))
     # one component is one task, but its total weight is the group's
-    weight = edges.groupBy(group).agg(F.sum("weight").alias("_total"))
-    dealt = edges.join(comp.withColumnRenamed("id", "a"), "a").join(weight, group)
-    kinds = dict(edges.dtypes)
+    weight = edges.groupBy("g").agg(F.sum("weight").alias("total"))
+    dealt = edges.join(comp.withColumnRenamed("id", "a"), "a").join(weight, "g").select("g", "component", "total", "a", "b", "weight")
+    kinds = dict(dealt.dtypes)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if not x.num_rows:
+                continue
+            x = x.sort_by([("g", "ascending"), ("component", "ascending")])
+            place, new = np.arange(x.num_rows), np.ones(x.num_rows, dtype=bool)
+            new[1:] = pc.or_(*(pc.not_equal(c[1:], c[:-1]) for c in (x.column("g"), x.column("component")))).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((place - np.maximum.accumulate(np.where(new, place, 0))) % PACKED == 0)
+            ends = pa.array(np.append(cuts, x.num_rows), pa.int32())
+            heads = [x.column(c).take(pa.array(cuts)) for c in ("g", "component", "total")]
+            yield pa.RecordBatch.from_arrays([*heads, *(pa.ListArray.from_arrays(ends, x.column(c)) for c in ("a", "b", "weight"))], names=x.schema.names)
 
     def cluster(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a component may have millions of edges: only their ends and weights are kept
-        kept = [(x.column("a"), x.column("b"), x.column("weight"), x.column("_total")[0].as_py()) for x in batches]
-        total, kind = kept[0][3], kept[0][0].type
-        w = pa.concat_arrays([x[2] for x in kept]).to_numpy()
-        ends = pa.concat_arrays([x[k] for k in (0, 1) for x in kept])
-        del kept
-        ends = ends.dictionary_encode()
-        names, codes = ends.dictionary.to_pylist(), ends.indices.to_numpy()
-        del ends
-        found = _clusters(names, codes[: len(w)], codes[len(w) :], w, resolution * float(w.sum()) / total, 42 if refined else None)
-        columns = [pa.array([key[0].as_py()] * len(names), key[0].type), pa.array(names, kind), pa.array([names[k] for k in found], kind)]
-        yield pa.RecordBatch.from_arrays(columns, names=["g", "id", "cluster"])
-
-    out = dealt.groupBy(group, "component").applyInArrow(cluster, f"g {kinds[group]}, id {kinds['a']}, cluster {kinds['a']}")
+        # a component may have millions of edges: only the places of their ends and their weights are kept
+        places: dict = {}
+        columns, n = [np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), np.empty(0)], 0
+        for x in batches:
+            total, kind = x.column("total")[0].as_py(), x.column("a").type.value_type
+            for k in (0, 1):
+                ends = x.column("ab"[k]).flatten().dictionary_encode()
+                place = np.array([places.setdefault(v, len(places)) for v in ends.dictionary.to_pylist()], dtype=np.int32)
+                columns[k] = M.extended(columns[k], n, place[ends.indices.to_numpy()])
+            columns[2] = M.extended(columns[2], n, x.column("weight").flatten().to_numpy())
+            n += len(ends)
+        del x, ends, place
+        names = list(places)
+        del places
+        columns = [c[:n] for c in columns]
+        found = _clusters(names, columns, resolution * float(columns[2].sum()) / total, 42 if refined else None)
+        out = [pa.array([key[0].as_py()] * len(names), key[0].type), pa.array(names, kind), pa.array([names[k] for k in found], kind)]
+        yield pa.RecordBatch.from_arrays(out, names=["g", "id", "cluster"])
+
+    rows = dealt.mapInArrow(packed, ", ".join(f"{c} array<{t}>" if c in ("a", "b", "weight") else f"{c} {t}" for c, t in kinds.items()))
+    out = rows.groupBy("g", "component").applyInArrow(cluster, f"g {kinds['g']}, id {kinds['a']}, cluster {kinds['a']}")
     return out.withColumnRenamed("g", group)
 
 

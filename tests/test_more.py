@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinlattice.functions import kinship, phonetic
-from kinlattice.operators import graph, quality, versioning
+from kinlattice.operators import graph, modularity, quality, versioning
 from kinlattice.plans import pipelines
 from kinlattice.sources import gedcom, seeds, sinks
 
@@ -109,6 +109,37 @@ def test_refined_communities_of_hubs_are_small():
     assert graph.modularity(edges, refined) >= graph.modularity(edges, greedy) - 1e-12
 
 
+def test_refined_communities_need_little_beside_the_graph(monkeypatch):
+    whole = graph.refined_modularity(*hubs(random.Random(5)))
+    monkeypatch.setattr(modularity, "BLOCK", 1000, raising=False)
+    edges, nodes = hubs(random.Random(5))
+    assert peak_bytes(graph.refined_modularity, edges, nodes) < 70
+    assert graph.refined_modularity(edges, nodes) == whole
+
+
+def test_refined_communities_of_packed_rows(spark):
+    # two groups, in each a component of many rows of edges and many small ones
+    rng, edges = random.Random(7), {}
+    for g in "xy":
+        big = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(700)}
+        edges[g] = [(f"{g}{a}", f"{g}{b}", float(rng.randint(1, 9)) * (6 if a % 4 == b % 4 else 1)) for a, b in sorted(big)]
+        edges[g] += [(f"{g}{k}", f"{g}{k + 1}", 3.0) for k in range(100, 200, 2)] + [(f"{g}300", f"{g}300", 2.0)]
+        rng.shuffle(edges[g])
+    rows = spark.createDataFrame([(g, *e) for g in edges for e in edges[g]], "owner string, a string, b string, weight double").repartition(3)
+    got = {(r.owner, r.id): r.cluster for r in graph.communities(rows, "owner", refined=True).collect()}
+    assert len(got) == 2 * 161
+    for g in edges:
+        total = sum(w for *_, w in edges[g])
+        for part in (lambda k: k < 60, lambda k: k >= 60):
+            inside = [e for e in edges[g] if part(int(e[0][1:]))]
+            if part(0):
+                want = graph.refined_modularity(inside, sorted({x for e in inside for x in e[:2]}), sum(w for *_, w in inside) / total)
+                assert len(set(want.values())) > 1
+            else:
+                want = {x: min(a, b) for a, b, _ in inside for x in (a, b)}
+            assert {k: c for (o, k), c in got.items() if o == g and k in want} == want
+
+
 def test_batches_end_when_canceled():
     done = []
     assert pipelines.in_batches(list(range(250)), done.extend, lambda: False) == (250, False) and done == list(range(250))
