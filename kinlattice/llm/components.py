@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .common import Shelf, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Every a's larger neighbours move to the least of a and its neighbours."""
+    side = least.select("a", F.least("a", "m").alias("m"))
     # the centre of a large star holds most rows
-    return spread_join(both, least, ["a"], "b").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return spread_join(edges, side, ["a"], "b").select(F.col("m").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -23,15 +23,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """(b, a): every node but the least of its component, with that least node. ``edges``: (a, b), a < b."""
-    now = shelf.put(edges.select("a", "b").distinct())
-    state = None
+    """(b, a): every node but the least of its component, with that least node. ``edges``: (a, b), a < b, repeats allowed.
+
+    The edges are stars about their least nodes as soon as no node has a smaller neighbour and another one.
+    """
+    now, held = edges.select("a", "b"), []
     while True:
-        step = shelf.put(_large_star(now))
-        new = shelf.put(_small_star(step))
-        shelf.drop(step, now)
-        now = new
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state or mark[0] == 0:
-            return now
-        state = tuple(mark)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = shelf.put(both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("last")))
+        if least.where("m < a AND m < last").isEmpty():
+            shelf.drop(*held)
+            return least.where("m < a").select(F.col("a").alias("b"), F.col("m").alias("a"))
+        step = shelf.put(_large_star(now, least))
+        now = shelf.put(_small_star(step))
+        shelf.drop(*held, least, step)
+        held = [now]

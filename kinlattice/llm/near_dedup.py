@@ -2,9 +2,10 @@
 
 Only one representative of equal word sequences takes part. In a bucket (documents that share a band)
 not all pairs are tried: everything is compared with the least id, and components are formed. Only
-buckets whose other members are still in several components go on: those outside the largest one are
-compared with the rest, block by block. A pair within one component cannot change the result, so no
-link between components is lost, and no bucket is capped.
+buckets whose other members are still in several components go on, those of one least component
+together: members outside the largest component are compared with the rest, block by block. A pair
+within one component cannot change the result, so no link between components is lost, and no bucket
+is capped.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, maybe_broadcast, ship, spread_join
+from .common import Shelf, ship, spread_join
 from .components import components
 from .shingles import MinHash, fingerprint, overlap, shingle_set, word_hashes
 
@@ -27,9 +28,9 @@ MINIMA, MISS = 125, 1e-6
 SLACK = 0.2
 #: Rows of each side of a block, about.
 BLOCK = 200
-#: A text with more pairs than this is given to several tasks.
+#: The members of a bucket with more than this are compared with its least in several tasks.
 HOT = 1000
-#: Distinct hot texts that are broadcast (16 bytes each); more are joined by shuffle.
+#: Open buckets, and groups of them, that are broadcast (16 to 24 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -47,7 +48,7 @@ def _scanner(shingle: int):
         minhash = MinHash(MINIMA)
         for batch in batches:
             rows = {"f1": [], "f2": [], "n": [], "sig": []}
-            for t in batch.column(2):
+            for t in batch.column(1):
                 words = word_hashes(t.as_py() or "")
                 items = shingle_set(words, shingle)
                 one, two = fingerprint(words)
@@ -56,13 +57,28 @@ def _scanner(shingle: int):
                 rows["n"].append(len(items))
                 rows["sig"].append(minhash.signature(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(rows["f1"], pa.int64()), pa.array(rows["f2"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["sig"], pa.list_(pa.int32()))],
-                names=["doc_id", "h", "f1", "f2", "n", "sig"],
+                [batch.column(0), pa.array(rows["f1"], pa.int64()), pa.array(rows["f2"], pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["sig"], pa.list_(pa.int32()))],
+                names=["doc_id", "f1", "f2", "n", "sig"],
             )
 
     return run
 
 
+def _signer(shingle: int):
+    """Puts its signature, null without words, to each row's ``text``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        minhash = MinHash(MINIMA)
+        for batch in batches:
+            sets = [shingle_set(word_hashes(t.as_py() or ""), shingle) for t in batch.column(batch.schema.get_field_index("text"))]
+            sig = pa.array([minhash.signature(x) if len(x) else None for x in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sig], names=[*batch.schema.names, "sig"])
+
+    return run
+
+
 def _verifier(shingle: int, percent: int):
     """Keeps (a, b) whose full shingle sets are similar enough; a signature estimate rules out most others."""
 
@@ -98,16 +114,38 @@ def _verifier(shingle: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, shelf: Shelf, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. The partners of a hot ``a`` are dealt to several tasks."""
-    hot = shelf.put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("a", F.ceil(F.col("n") / HOT).alias("parts")))
-    hot = maybe_broadcast(hot, hot.count(), BROADCAST_ROWS)
-    one = F.coalesce("parts", F.lit(1).cast("long"))
-    side = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"), F.col("sig").alias(f"sig_{s}"))
-    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), one).alias("part"))
-    copied = side("a").join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
-    both = dealt.join(side("b"), "b").join(copied, ["a", "part"]).select("a", "b", "text_a", "text_b", "sig_a", "sig_b")
-    return shelf.put(both.mapInArrow(_verifier(shingle, percent), "a long, b long").distinct())
+def _parts(n):
+    return F.ceil(n / HOT).cast("long")
+
+
+def _texts(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(rep, firsts, text, sig): each text of a document that shares a band with another.
+
+    firsts: the least ids of its buckets, each once and with the rows of the largest such bucket.
+    """
+    firsts = F.array_sort(F.collect_set(F.struct("first", "n")))
+    held = members.groupBy("rep").agg(firsts.alias("firsts"))
+    last = lambda x, k: (k == F.size("firsts") - 1) | (F.get("firsts", k + 1)["first"] != x["first"])
+    held = held.select("rep", F.filter("firsts", last).alias("firsts"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("h")).join(held.hint("merge"), "rep")
+    texts = texts.dropDuplicates(["rep", "h"]).select("rep", "firsts", "text")
+    return texts.mapInArrow(_signer(shingle), "rep long, firsts array<struct<first:long,n:long>>, text string, sig array<int>").where("sig IS NOT NULL")
+
+
+def _links(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a bucket's least id and another member whose texts are similar.
+
+    The members of a large bucket are dealt to several tasks. A least id is a member of its own buckets,
+    so that it knows the most parts in which it is looked for.
+    """
+    dealt = texts.select(F.explode("firsts").alias("f"), F.col("rep").alias("b"), F.col("text").alias("text_b"), F.col("sig").alias("sig_b")).where("f.first < b")
+    dealt = dealt.select(F.col("f.first").alias("a"), F.pmod(F.xxhash64("b"), _parts(F.col("f.n"))).alias("part"), "b", "text_b", "sig_b")
+    own = F.filter("firsts", lambda x: x["first"] == F.col("rep"))
+    copied = texts.select(F.col("rep").alias("a"), F.get(own, F.lit(0))["n"].alias("n"), F.col("text").alias("text_a"), F.col("sig").alias("sig_a"))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("n")) - 1)).alias("part")
+    copied = copied.where("n IS NOT NULL").select("a", part, "text_a", "sig_a")
+    both = dealt.join(copied.hint("merge"), ["a", "part"]).select("a", "b", "text_a", "text_b", "sig_a", "sig_b")
+    return both.mapInArrow(_verifier(shingle, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -124,8 +162,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     spark = docs.sparkSession
     ship(spark)
     shelf = Shelf(spark)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    scan = shelf.put(docs.mapInArrow(_scanner(shingle), "doc_id long, h long, f1 long, f2 long, n long, sig array<int>"))
+    docs = docs.select("doc_id", "text")
+    scan = shelf.put(docs.mapInArrow(_scanner(shingle), "doc_id long, f1 long, f2 long, n long, sig array<int>"))
     reps = shelf.put(
         scan.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("f1", "f2")
@@ -134,20 +172,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bands, rows = banding(percent)
     band = lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, rows))
     buckets = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    members = shelf.put(spread_join(buckets, shared.select("bucket", "first"), ["bucket"], "rep"))
-    pairs = shelf.put(members.where("first < rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    # documents that share a band with another: each of their texts with its own signature
-    wanted = scan.where("n > 0").select(F.col("doc_id").alias("rep"), "h", "sig").join(members.select("rep").distinct(), "rep", "left_semi")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted.dropDuplicates(["rep", "h"]), ["rep", "h"])
-    texts = shelf.put(texts.dropDuplicates(["rep", "h"]).drop("h"))
+    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    members = shelf.put(spread_join(buckets, shared.select("bucket", "first", "n"), ["bucket"], "rep"))
+    texts = shelf.put(_texts(docs, members, shingle))
     own = _several(scan, reps, shelf)
-    edges = _links(pairs, texts, shelf, shingle, percent)
-    edges = edges if own is None else shelf.put(edges.unionByName(own))
-    roots = components(edges, shelf)
-    edges = _rest(members, roots, texts, shelf, shingle, percent, edges)
-    roots = components(edges, shelf) if edges is not None else roots
-    shelf.drop(members, pairs, texts)
+    edges = shelf.put(_links(texts, shingle, percent))
+    roots = components(edges if own is None else edges.unionByName(own), shelf)
+    found = _rest(members, roots, texts, shelf, shingle, percent)
+    roots = roots if found is None else components(roots.select("a", "b").unionByName(found), shelf)
+    shelf.drop(members, texts, edges)
     # a group of copies may hold a third of all rows; a text of its own is its document's
     root = roots.select(F.col("b").alias("rep"), F.col("a").alias("root"))
     copies = reps.where(F.col("rows") > 1).select("f1", "f2", "rep").join(root, "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("label"))
@@ -172,50 +205,51 @@ def _several(scan: DataFrame, reps: DataFrame, shelf: Shelf) -> DataFrame | None
     return shelf.put(edges.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
 
 
-def _rest(members, roots, texts, shelf: Shelf, shingle: int, percent: int, edges: DataFrame) -> DataFrame | None:
-    """All links after those of the buckets' first members; None if there can be no more.
+def _with_few(rows: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    return rows.join(F.broadcast(side), on) if side.count() <= BROADCAST_ROWS else spread_join(rows, side, [on], "rep")
+
+
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, shelf: Shelf, shingle: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between components, by their roots, that join all whose members are similar; None if there are none.
 
-    Open buckets hold untried members of several components. Buckets that share components form a
-    cluster; every member outside a cluster's largest component is compared with all its members of
+    Open buckets hold untried members of several components. Those of one least component form a
+    group; every member outside a group's largest component is compared with all its members of
     other components, in blocks of both sides, and only links leave a block.
     """
     now = members.where("first < rep").select("bucket", "rep")
-    now = now.join(roots.select(F.col("b").alias("rep"), F.col("a").alias("root")), "rep", "left").select(
-        "bucket", "rep", F.coalesce("root", "rep").alias("root")
-    )
-    open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket", "lo")
-    state = shelf.put(spread_join(now, open_, ["bucket"], "rep").select("rep", "root", "lo").distinct())
-    if state.isEmpty():
+    now = now.join(roots.select(F.col("b").alias("rep"), F.col("a").alias("root")), "rep", "left")
+    now = shelf.put(now.select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+    open_ = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = shelf.put(open_.select("bucket", "lo"))
+    if open_.isEmpty():
+        shelf.drop(now, open_)
         return None
-    joined = components(state.where("lo < root").select(F.col("lo").alias("a"), F.col("root").alias("b")), shelf)
-    named = joined.select(F.col("b").alias("root"), F.col("a").alias("c"))
-    who = spread_join(state.select("rep", "root").distinct(), named, ["root"], "rep", "left")
-    who = shelf.put(who.select("rep", "root", F.coalesce("c", "root").alias("cluster")))
-    sizes = who.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    # the largest component of a cluster and how many blocks each side has
-    blocks = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    blocks = blocks.select(
-        "cluster", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("n_rest")
-    )
-    rows = spread_join(who, blocks, ["cluster"], "rep")
+    who = shelf.put(_with_few(now, open_, "bucket").select("lo", "rep", "root").distinct())
+    sizes = who.groupBy("lo", "root").agg(F.count(F.lit(1)).alias("n"))
+    # the largest component of a group and how many blocks each side has
+    blocks = sizes.groupBy("lo").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = shelf.put(blocks.select("lo", "main", count(F.col("all")).alias("n_all"), count(F.col("all") - F.col("most")).alias("n_rest")))
+    rows = _with_few(who, blocks, "lo")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = rows.select("cluster", "rep", "root", F.lit(0).alias("side"), own("n_all").alias("x"), span("n_rest").alias("y"))
-    rest = rows.where("root <> main").select("cluster", "rep", "root", F.lit(1).alias("side"), span("n_all").alias("x"), own("n_rest").alias("y"))
-    dealt = every.unionByName(rest).join(texts, "rep")
-    found = dealt.groupBy("cluster", "x", "y").applyInArrow(_block(shingle, percent), "a long, b long").distinct()
-    found = shelf.put(found)
-    return None if found.isEmpty() else shelf.put(edges.unionByName(found))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda side, xs, ys: F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))))
+    every, rest = at(0, F.array(own("n_all")), span("n_rest")), at(1, span("n_all"), F.array(own("n_rest")))
+    places = F.flatten(F.when(F.col("root") == F.col("main"), every).otherwise(F.concat(every, rest)))
+    dealt = rows.select("lo", "rep", "root", places.alias("places")).join(texts.select("rep", "text", "sig"), "rep").select("lo", "rep", "root", "text", "sig", F.inline("places"))
+    found = shelf.put(dealt.groupBy("lo", "x", "y").applyInArrow(_block(shingle, percent), "a long, b long"))
+    shelf.drop(now, open_, who, blocks)
+    return None if found.isEmpty() else found
 
 
 def _block(shingle: int, percent: int):
-    """Links between the two sides of a block: one for each row of side 1 and component of side 0."""
+    """Links between the components of the two sides of a block, by their roots."""
 
     def run(rows):
         import pyarrow as pa
 
         side = rows.column("side").to_numpy()
-        rep, root = rows.column("rep").to_numpy(), rows.column("root").to_numpy()
+        root = rows.column("root").to_numpy()
         sig = np.stack([np.asarray(x.values) for x in rows.column("sig")])
         text = rows.column("text")
         sets: dict[int, np.ndarray] = {}
@@ -225,11 +259,11 @@ def _block(shingle: int, percent: int):
                 sets[k] = shingle_set(word_hashes(text[k].as_py()), shingle)
             return sets[k]
 
-        every, a, b = np.flatnonzero(side == 0), [], []
+        every, links = np.flatnonzero(side == 0), set()
         for r in np.flatnonzero(side == 1):
             like = (sig[every] == sig[r]).mean(axis=1)
             like[root[every] == root[r]] = 0.0
-            done = set()
+            done = {x for pair in links if root[r] in pair for x in pair}
             for k in np.argsort(-like, kind="stable"):
                 if like[k] < percent / 100 - SLACK:
                     break
@@ -242,9 +276,8 @@ def _block(shingle: int, percent: int):
                 both = overlap(x, y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     done.add(root[other])
-                    a.append(min(rep[r], rep[other]))
-                    b.append(max(rep[r], rep[other]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    links.add((min(root[r], root[other]), max(root[r], root[other])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 

@@ -125,6 +125,22 @@ def test_near_dedup_over_many_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_near_dedup_takes_few_stages(spark, monkeypatch):
+    # on a cluster with many partitions each small stage costs seconds: large groups of near copies that stay in several components
+    rows = [(100 + k, t, "en", "a") for k, t in enumerate(near_group(1, 70, 12))] + [(300 + k, t, "en", "a") for k, t in enumerate(near_group(2, 40, 30))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plain, shuffles = Shelf.put, []
+
+    def put(self, df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning"))
+        return plain(self, df)
+
+    monkeypatch.setattr(Shelf, "put", put)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows, 3, 85)
+    assert sum(shuffles) <= 28
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)} | {(100 + k, 101 + k) for k in range(40)}
