@@ -235,6 +235,21 @@ def test_expanded_pairs(spark, monkeypatch):
         assert sorted(tuple(r) for r in out.collect()) == words
 
 
+def test_expanded_rows_are_made_as_they_are_read(spark):
+    texts = spark.range(800).select("id", F.lit("red ring").alias("t"))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan is known only as it runs
+    try:
+        plan = matching.token_pairs(texts, "id", "t")._jdf.queryExecution().executedPlan()
+        plan.executeTake(1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    while plan.nodeName() != "Generate":
+        plan = plan.children().head()
+    # for the first of 319,600 pairs, which are of one chunk
+    assert 0 < plan.metrics().apply("numOutputRows").value() <= 32_000
+
+
 def test_classes_are_scored_once(spark):
     rows = [(k, f"G{k % 2}", "S", 1800, "T", "M", ["x"] if k % 4 else None) for k in range(40)]
     people = spark.createDataFrame(rows, "id long, given string, surname string, birth_year int, birth_place string, sex string, codes array<string>")
